@@ -96,3 +96,12 @@ def docs_by_bucket(docs: DataFrame, n: int) -> DataFrame:
     which Spark then runs once.
     """
     return docs.where(F.col("doc_id").isNotNull()).select(F.pmod(F.hash("doc_id"), F.lit(n)).cast("int").alias("b"), F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(n, "b")
+
+
+def one_row_per_id(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): several rows of one id become one, with the least text.  Looks at the ids alone unless there are such rows."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    several = rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if several.isEmpty():
+        return rows
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"))
