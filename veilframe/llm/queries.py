@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, near_dup, packing, quality, secrets, substring_dedup, suffix_dedup
+from . import decontaminate, lm, near_dup, packing, quality, secrets, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_table(spark, sf_dir, "documents"))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeats(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op3_benchmark_decontamination, op4_secret_scans, op7_quality_classifier, op8_minhash_near_dedup, op9_packing, op10_suffix_array_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_benchmark_decontamination, op4_secret_scans, op7_quality_classifier, op8_minhash_near_dedup, op9_packing, op10_suffix_array_dedup, pipeline)}
 
 ORACLES: dict[str, str] = {}
