@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, lm, near_dup, packing, quality, secrets, substring_dedup, suffix_dedup
+from . import ann, decontaminate, licenses, lm, near_dup, packing, quality, secrets, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.classify(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
@@ -50,6 +58,6 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_benchmark_decontamination, op4_secret_scans, op7_quality_classifier, op8_minhash_near_dedup, op9_packing, op10_suffix_array_dedup, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_benchmark_decontamination, op4_secret_scans, op5_license_scans, op6_nearest_neighbours, op7_quality_classifier, op8_minhash_near_dedup, op9_packing, op10_suffix_array_dedup, pipeline)}
 
 ORACLES: dict[str, str] = {}
