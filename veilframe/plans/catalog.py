@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import q_boxes, q_frames, q_privacy, q_records, q_text  # noqa: F401
+from .tables import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
