@@ -121,7 +121,9 @@ class Model:
         if len(self.vocabulary) and len(bags.word):
             at = np.minimum(np.searchsorted(self.vocabulary, bags.word), len(self.vocabulary) - 1)
             hit = self.vocabulary[at] == bags.word
-            np.add.at(x, (bags.word_passage[hit], N_SHAPE + at[hit]), 1.0)
+            cell = bags.word_passage[hit] * x.shape[1] + N_SHAPE + at[hit]
+            where, n = np.unique(cell, return_counts=True)
+            x.ravel()[where] += n
         return x
 
     def predict(self, bags: Bags) -> tuple[np.ndarray, np.ndarray]:
@@ -148,23 +150,36 @@ def forward(p: dict, x: np.ndarray, doc: np.ndarray, n: int):
     return prob, att, (h, t, g, m)
 
 
-def fit(bags: Bags, y: np.ndarray, steps: int = 240, seed: int = 0, l2: float = 1e-4) -> Model | None:
-    """Full-batch Adam on the cross-entropy; None unless both labels occur."""
+def part_of(bags: Bags, docs: np.ndarray) -> Bags:
+    """The bags of some documents (ascending), renumbered."""
+    keep = np.zeros(bags.n_docs, bool)
+    keep[docs] = True
+    number = np.cumsum(keep) - 1
+    rows = np.flatnonzero(keep[bags.doc])
+    place = np.cumsum(keep[bags.doc]) - 1
+    of_word = np.flatnonzero(keep[bags.doc[bags.word_passage]])
+    return Bags(len(docs), number[bags.doc[rows]], bags.shape[rows], place[bags.word_passage[of_word]], bags.word[of_word])
+
+
+def fit(bags: Bags, y: np.ndarray, steps: int = 400, batch: int = 256, seed: int = 0, l2: float = 1e-4) -> Model | None:
+    """Adam on the cross-entropy of batches of documents; None unless both labels occur."""
     n = bags.n_docs
     if not 0 < y.sum() < n:
         return None
     rng = np.random.default_rng(seed)
     doc_of = bags.doc[bags.word_passage]
-    key = np.unique(np.stack([bags.word, doc_of.astype(np.uint64)], axis=1), axis=0) if len(bags.word) else np.zeros((0, 2), np.uint64)
-    vocab, inv, df = np.unique(key[:, 0], return_inverse=True, return_counts=True)
-    pos = np.bincount(inv, weights=y[key[:, 1].astype(np.int64)], minlength=len(vocab))
+    edges = np.searchsorted(doc_of, np.arange(0, n + batch, batch))
+    both = np.concatenate([a + np.unique(W.mix(bags.word[a:b]) ^ W.mix(doc_of[a:b].astype(np.uint64) + np.uint64(1)), return_index=True)[1] for a, b in zip(edges, edges[1:])])
+    vocab, inv, df = np.unique(bags.word[both], return_inverse=True, return_counts=True)
+    pos = np.bincount(inv, weights=y[doc_of[both]], minlength=len(vocab))
     rate = y.mean()
     z = np.abs(pos - df * rate) / np.sqrt(df * rate * (1 - rate) + 1e-9)
     z[(df < 3) | (z < 3.5)] = 0
     chosen = np.argsort(-z, kind="stable")[:VOCABULARY]
     model = Model(np.sort(vocab[chosen[z[chosen] > 0]]), {})
-    x = model.features(bags)
-    k = x.shape[1]
+    k = N_SHAPE + len(model.vocabulary)
+    hit = np.flatnonzero(np.isin(bags.word, model.vocabulary))
+    hits = Bags(n, bags.doc, bags.shape, bags.word_passage[hit], bags.word[hit])
     p = {
         "W": rng.normal(0, 0.3 / np.sqrt(N_SHAPE), (k, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, 0.3, (HIDDEN, ATTENTION)),
         "U": rng.normal(0, 0.3, (HIDDEN, ATTENTION)), "a": rng.normal(0, 0.3, ATTENTION), "c": rng.normal(0, 0.3, HIDDEN), "d": np.array(np.log(rate / (1 - rate))),
@@ -172,24 +187,31 @@ def fit(bags: Bags, y: np.ndarray, steps: int = 240, seed: int = 0, l2: float =
     p = {q: v.astype(np.float32) for q, v in p.items()}
     m1 = {q: np.zeros_like(v) for q, v in p.items()}
     m2 = {q: np.zeros_like(v) for q, v in p.items()}
-    doc = bags.doc
+    order, at = rng.permutation(n), 0
     for step in range(1, steps + 1):
-        prob, att, (h, t, g, m) = forward(p, x, doc, n)
-        err = ((prob - y) / n).astype(np.float32)
+        if at >= n:
+            order, at = rng.permutation(n), 0
+        some = np.sort(order[at : at + batch])
+        at += batch
+        bag = part_of(hits, some)
+        x, doc, target, size = model.features(bag), bag.doc, y[some], bag.n_docs
+        prob, att, (h, t, g, m) = forward(p, x, doc, size)
+        err = ((prob - target) / size).astype(np.float32)
         grad = {"c": m.T @ err, "d": err.sum()}
         dm = err[:, None] * p["c"]
         datt = (h * dm[doc]).sum(1)
-        mean = np.bincount(doc, weights=att * datt, minlength=n).astype(np.float32)
+        mean = np.bincount(doc, weights=att * datt, minlength=size).astype(np.float32)
         ds = att * (datt - mean[doc])
         grad["a"] = (t * g).T @ ds
         dt, dg = ds[:, None] * p["a"] * g * (1 - t * t), ds[:, None] * p["a"] * t * g * (1 - g)
         grad["V"], grad["U"] = h.T @ dt, h.T @ dg
         dh = (att[:, None] * dm[doc] + dt @ p["V"].T + dg @ p["U"].T) * (1 - h * h)
         grad["W"], grad["b"] = x.T @ dh + l2 * p["W"], dh.sum(0)
+        rate_now = 0.03 * min(1.0, 2 * (1 - step / (steps + 1)))
         for q in p:
             m1[q] = 0.9 * m1[q] + 0.1 * grad[q]
             m2[q] = 0.999 * m2[q] + 0.001 * np.square(grad[q])
-            p[q] = (p[q] - 0.03 * (m1[q] / (1 - 0.9**step)) / (np.sqrt(m2[q] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+            p[q] = (p[q] - rate_now * (m1[q] / (1 - 0.9**step)) / (np.sqrt(m2[q] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
     model.p = p
     return model
 
