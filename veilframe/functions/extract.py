@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SP, WORD, collapse, strip, tokens
+from .text import SP, WORD, collapse, let, strip, tokens
 
 NAME = "A-Za-zÄÖÜäöüß"
 _N = f"[{NAME}]"
@@ -176,23 +176,37 @@ def date_roles(c: Column) -> Column:
     A label decides; a clock after a date makes it the examination; otherwise the oldest
     date is the birth and the newest the examination.  No date gets both roles.
     """
-    known = date_candidates(c)
+    return let(date_candidates(c), _roles)
+
+
+def _roles(known: Column) -> Column:
     pick = lambda test: F.get(F.filter(known, test), F.lit(0))
-    born, seen = pick(lambda d: d["role"] == "dob"), F.coalesce(pick(lambda d: d["role"] == "exam"), pick(lambda d: d["timed"]))
-    days = F.transform(known, lambda d: d["day"])
-    oldest = F.array_min(F.filter(days, lambda d: seen["day"].isNull() | (d != seen["day"])))
-    dob = F.coalesce(born["day"], oldest)
-    newest = F.array_max(F.filter(days, lambda d: dob.isNull() | (d != dob)))
-    exam = F.coalesce(seen["day"], newest)
-    # the role of the date that became the birth: its own where a label chose it, else that of the first candidate with its day
-    own = F.coalesce(born["role"], pick(lambda d: d["day"] == dob)["role"])
-    same = F.coalesce(dob == exam, F.lit(False))
-    late = F.coalesce(dob > exam, F.lit(False))
-    return F.struct(
-        F.when(same & F.coalesce(own != "dob", F.lit(True)), F.lit(None)).when(late, exam).otherwise(dob).alias("dob"),
-        F.when(same & F.coalesce(own == "dob", F.lit(False)), F.lit(None)).when(late, dob).otherwise(exam).alias("exam"),
+    first = F.struct(
+        pick(lambda d: d["role"] == "dob").alias("born"), F.coalesce(pick(lambda d: d["role"] == "exam"), pick(lambda d: d["timed"])).alias("seen"), F.transform(known, lambda d: d["day"]).alias("days")
     )
 
+    def dates(s: Column) -> Column:
+        seen = s["seen"]["day"]
+        oldest = F.array_min(F.filter(s["days"], lambda d: seen.isNull() | (d != seen)))
+        return F.struct(F.coalesce(s["born"]["day"], oldest).alias("dob"), seen.alias("seen"), s["born"]["role"].alias("role"), s["days"].alias("days"))
+
+    def both(s: Column) -> Column:
+        dob = s["dob"]
+        newest = F.array_max(F.filter(s["days"], lambda d: dob.isNull() | (d != dob)))
+        # the role of the date that became the birth: its own where a label chose it, else that of the first candidate with its day
+        own = F.coalesce(s["role"], pick(lambda d: d["day"] == dob)["role"])
+        return F.struct(dob.alias("dob"), F.coalesce(s["seen"], newest).alias("exam"), F.coalesce(own == "dob", F.lit(False)).alias("labelled"))
+
+    def settle(s: Column) -> Column:
+        dob, exam = s["dob"], s["exam"]
+        same, late = F.coalesce(dob == exam, F.lit(False)), F.coalesce(dob > exam, F.lit(False))
+        return F.struct(
+            F.when(same & ~s["labelled"], F.lit(None)).when(late, exam).otherwise(dob).alias("dob"),
+            F.when(same & s["labelled"], F.lit(None)).when(late, dob).otherwise(exam).alias("exam"),
+        )
+
+    return let(let(let(first, dates), both), settle)
+
 
 _PAT = r"(?i)(?:Patientin|Patient|Pat\.|Pat):?"
 _S = f"[{SP}]"
@@ -234,8 +248,10 @@ def _untitled(c: Column) -> Column:
 
 def examination_line(c: Column) -> Column:
     """struct of examiner, date and time of one report line in either format."""
-    one = first_group(c, _UNTERS, 1)
     entry = first_group(c, _ENTRY)
+    # only lines with a marker meet the long pattern
+    c = F.when(F.contains(c, F.lit("Unters.:")), c)
+    one = first_group(c, _UNTERS, 1)
     return F.struct(
         F.when(one.isNotNull(), _untitled(first_group(c, _UNTERS, 2))).alias("examiner_first_name"),
         F.when(one.isNotNull(), _untitled(one)).alias("examiner_last_name"),

@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 class Box(NamedTuple):
     x1: Column
@@ -223,14 +225,17 @@ def union_area(boxes: Column) -> Column:
 
     For the boxes of one page, whose number is small; ``operators.spatial.union_area`` works on rows.
     """
-    good = F.filter(boxes, lambda b: valid(of(b)))
-    edges = F.array_sort(F.array_distinct(F.flatten(F.transform(good, lambda b: F.array(b["x1"].cast("bigint"), b["x2"].cast("bigint"))))))
-    slabs = F.zip_with(F.slice(edges, F.lit(1), F.greatest(F.size(edges) - 1, F.lit(0))), F.slice(edges, F.lit(2), F.greatest(F.size(edges) - 1, F.lit(0))), lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi")))
 
-    def slab(s: Column) -> Column:
-        over = F.filter(good, lambda b: (b["x1"] < s["hi"]) & (b["x2"] > s["lo"]))
-        spans = F.transform(over, lambda b: F.struct(b["y1"].cast("bigint").alias("lo"), b["y2"].cast("bigint").alias("hi")))
-        return (s["hi"] - s["lo"]) * _height(spans)
+    def area_of(good: Column) -> Column:
+        edges = F.array_sort(F.array_distinct(F.flatten(F.transform(good, lambda b: F.array(b["x1"].cast("bigint"), b["x2"].cast("bigint"))))))
+        last = lambda e: F.greatest(F.size(e) - 1, F.lit(0))
+        slabs = let(edges, lambda e: F.zip_with(F.slice(e, F.lit(1), last(e)), F.slice(e, F.lit(2), last(e)), lambda lo, hi: F.struct(lo.alias("lo"), hi.alias("hi"))))
+
+        def slab(s: Column) -> Column:
+            over = F.filter(good, lambda b: (b["x1"] < s["hi"]) & (b["x2"] > s["lo"]))
+            spans = F.transform(over, lambda b: F.struct(b["y1"].cast("bigint").alias("lo"), b["y2"].cast("bigint").alias("hi")))
+            return (s["hi"] - s["lo"]) * _height(spans)
+
+        return F.aggregate(slabs, F.lit(0).cast("bigint"), lambda a, s: a + slab(s))
 
-    total = F.aggregate(F.transform(slabs, slab), F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return F.coalesce(total, F.lit(0).cast("bigint"))
+    return F.coalesce(let(F.filter(boxes, lambda b: valid(of(b))), area_of), F.lit(0).cast("bigint"))

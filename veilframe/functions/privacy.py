@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import WORD
+from .text import WORD, let
 
 BLOCK = 64
 
@@ -64,8 +64,7 @@ def uid_pseudonym(secret: bytes, original: Column) -> Column:
 def shift_days(secret: bytes, patient: Column) -> Column:
     """1 to 3650 days, back or forth, fixed for a patient (M2)."""
     v = F.conv(F.left(keyed(secret, "date-shift", patient), F.lit(8)), 16, 10).cast("bigint")
-    size = v % 3650 + 1
-    return F.when(v % 2 == 1, -size).otherwise(size).cast("int")
+    return let(v, lambda x: F.when(x % 2 == 1, -(x % 3650 + 1)).otherwise(x % 3650 + 1).cast("int"))
 
 
 def shift_compact_date(value: Column, days: Column) -> Column:
@@ -108,9 +107,9 @@ def group_split(group: Column, seed: int = 0, fraction: float = 0.2) -> Column:
 
 def digits_like(secret: bytes, number: Column) -> Column:
     """Digits of the same number, as many, keyed (P9): each digit pair of the digest gives one."""
-    h = F.concat(keyed(secret, "number", number), keyed(secret, "number2", number))
     at = F.sequence(F.lit(0), F.length(number) - 1)
-    return F.array_join(F.transform(at, lambda i: (F.conv(F.substring(h, i % 64 * 2 + 1, F.lit(2)), 16, 10).cast("int") % 10).cast("string")), "")
+    digit = lambda h, i: (F.conv(F.substring(h, i % 64 * 2 + 1, F.lit(2)), 16, 10).cast("int") % 10).cast("string")
+    return let(F.concat(keyed(secret, "number", number), keyed(secret, "number2", number)), lambda h: F.array_join(F.transform(at, lambda i: digit(h, i)), ""))
 
 
 def redact_long_numbers(secret: bytes, text: Column) -> Column:

@@ -49,6 +49,11 @@ HINTS = tuple(
 )
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with the value computed once: inside a lambda nothing else shares it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends."""
     return F.regexp_replace(c, rf"\A[{SP}]+|[{SP}]+\z", "")
@@ -116,15 +121,14 @@ def is_gibberish(c: Column) -> Column:
     """Text that no structured overlay explains and that doesn't look like words."""
     n = F.length(c)
     multi = F.filter(tokens(c), lambda w: F.length(w) > 1)
-    vowels, words = _vowel_share(multi)
-    distinct = F.size(F.array_distinct(F.regexp_extract_all(F.replace(c, F.lit(" "), F.lit("")), F.lit("(?s)."), F.lit(0))))
+    distinct = F.size(F.array_distinct(F.split(F.replace(c, F.lit(" "), F.lit("")), "")))
     return (
         F.when(c.isNull() | (n < 3), True)
         .when(structured_strict(c), False)
         .when(count_of(c, r"\p{L}") / n < 0.2, True)
         .when(F.length(F.regexp_replace(c, f"[{STANDARD}]", "")) > n * 0.4, True)
         .when(~c.rlike(f"[^{SP}]"), True)
-        .when((words > 0) & (vowels < words * 0.15), True)
+        .when(let(multi, lambda m: (_vowel_share(m)[1] > 0) & (_vowel_share(m)[0] < _vowel_share(m)[1] * 0.15)), True)
         .otherwise(distinct < n * 0.1)
     )
 
@@ -135,13 +139,12 @@ def gibberish_score(c: Column) -> Column:
     letters = count_of(c, r"\p{L}") / n
     odd = F.length(F.regexp_replace(c, f"[{STANDARD}]", "")) / n
     marks = F.length(F.regexp_replace(c, rf"[\p{{L}}\p{{N}}{SP}.,:;/\-]", "")) / n
-    vowels, words = _vowel_share(F.filter(tokens(c), lambda w: F.length(w) > 1))
-    share = F.try_divide(vowels, words)
+    share = let(F.filter(tokens(c), lambda w: F.length(w) > 1), lambda m: F.try_divide(*_vowel_share(m)))
     score = (
-        F.when(letters < 0.2, 0.35).when(letters < 0.35, 0.15).otherwise(0.0)
+        let(letters, lambda x: F.when(x < 0.2, 0.35).when(x < 0.35, 0.15).otherwise(0.0))
         + F.least(odd * 0.8, F.lit(0.4))
         + F.least(marks * 0.6, F.lit(0.2))
-        + F.when(share < 0.15, 0.25).when(share < 0.3, 0.1).otherwise(0.0)
+        + let(share, lambda x: F.when(x < 0.15, 0.25).when(x < 0.3, 0.1).otherwise(0.0))
     )
     return F.when(c.isNull() | (c == ""), 1.0).otherwise(F.greatest(F.lit(0.0), F.least(score, F.lit(1.0))))
 
@@ -173,12 +176,14 @@ def quality_score(c: Column, conf: Column) -> Column:
     """Readability of a frame's text with its reader's confidence, 0 to 1."""
     n = F.length(c)
     conf = F.when(conf.isNull() | F.isnan(conf), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)))
-    words = latin_words(c)
-    k = F.size(words)
-    letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
-    text = F.when(k > 0, _clinical(c) + F.when(letters / k >= 4.0, 0.1).otherwise(0.0) + F.size(_readable(words)) / k * 0.2).otherwise(0.0)
-    marks = count_of(c, r"\p{P}\p{S}") / n
-    factor = F.when(n < 4, 1.0).when(marks > 0.5, 0.3).when(marks > 0.3, 0.7).otherwise(1.0)
+
+    def wordy(words: Column) -> Column:
+        k = F.size(words)
+        letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
+        return F.when(k > 0, _clinical(c) + F.when(letters / k >= 4.0, 0.1).otherwise(0.0) + F.size(_readable(words)) / k * 0.2).otherwise(0.0)
+
+    text = let(latin_words(c), wordy)
+    factor = let(count_of(c, r"\p{P}\p{S}") / n, lambda m: F.when(n < 4, 1.0).when(m > 0.5, 0.3).when(m > 0.3, 0.7).otherwise(1.0))
     score = (conf * 0.4 + text) * factor + F.least(n / 1000.0, F.lit(0.1))
     return F.when(c.isNull() | (n == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
@@ -205,28 +210,21 @@ def is_quality_text(c: Column) -> Column:
 
 
 def profile(c: Column) -> dict[str, Column]:
-    """Counts, shares and the coarse noise score of a text (X7); the input is taken as composed."""
-    n = F.length(c)
-    marks = count_of(c, HARD_MARKS)
-    share = marks / F.greatest(n, F.lit(1))
-    readable = F.size(_readable(latin_words(c)))
-    repeats = sum((F.regexp_count(c, F.lit(p)) for p in _REPEATS), F.lit(0))
-    odd = F.length(F.regexp_replace(c, r"[\x00-\x7f\p{L}]", ""))
-    score = F.when(share > 0.5, 0.4).otherwise(0.0) + F.when(readable == 0, 0.3).otherwise(0.0) + F.when(repeats > 2, 0.2).otherwise(0.0) + F.when(odd > n * 0.2, 0.1).otherwise(0.0)
-    empty = c.isNull() | (n == 0)
+    """Counts of a text (X7); ``noise_of`` has the shares and the score.  The input is taken as composed."""
+    zero = lambda x: F.coalesce(x, F.lit(0))
     return {
-        "n_letters": F.coalesce(count_of(c, r"\p{L}"), F.lit(0)),
-        "n_digits": F.coalesce(count_of(c, r"\p{Nd}"), F.lit(0)),
-        "n_marks": F.coalesce(marks, F.lit(0)),
-        "n_spaces": F.coalesce(count_of(c, SP), F.lit(0)),
-        "mark_share": F.when(empty, 0.0).otherwise(share),
-        "n_words": F.when(empty, 0).otherwise(F.size(latin_words(c))),
-        "n_readable": F.when(empty, 0).otherwise(readable),
-        "n_repeats": F.coalesce(repeats, F.lit(0)),
-        "n_odd": F.coalesce(odd, F.lit(0)),
-        "noise": F.when(empty, 1.0).otherwise(score),
-        "is_noise": F.when(empty, True).otherwise((score > 0.6) | (share > 0.7)),
-    }
+        "n_chars": zero(F.length(c)), "n_letters": zero(count_of(c, r"\p{L}")), "n_digits": zero(count_of(c, r"\p{Nd}")), "n_marks": zero(count_of(c, HARD_MARKS)), "n_spaces": zero(count_of(c, SP)),
+        "n_words": zero(F.when(c.isNotNull(), F.size(latin_words(c)))), "n_readable": zero(F.when(c.isNotNull(), F.size(_readable(latin_words(c))))),
+        "n_repeats": zero(F.regexp_count(c, F.lit("|".join(_REPEATS)))), "n_odd": zero(F.length(F.regexp_replace(c, r"[\x00-\x7f\p{L}]", ""))),
+    }
+
+
+def noise_of(p: dict[str, Column]) -> dict[str, Column]:
+    """Share of marks, coarse noise score and verdict from the counts of ``profile``."""
+    n = p["n_chars"]
+    share = p["n_marks"] / F.greatest(n, F.lit(1))
+    score = F.when(share > 0.5, 0.4).otherwise(0.0) + F.when(p["n_readable"] == 0, 0.3).otherwise(0.0) + F.when(p["n_repeats"] > 2, 0.2).otherwise(0.0) + F.when(p["n_odd"] > n * 0.2, 0.1).otherwise(0.0)
+    return {"mark_share": share, "noise": F.when(n == 0, 1.0).otherwise(score), "is_noise": F.when(n == 0, True).otherwise((score > 0.6) | (share > 0.7))}
 
 
 #: A character repeated four times and more; of the characters that OCR repeats, as RE2 has no backreference.

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..functions.text import let
 from .evaluation import f1, ratio
 
 _BOX = ("x1", "y1", "x2", "y2")
@@ -51,8 +52,8 @@ def greedy_matches(gt: Column, pr: Column, least: float) -> Column:
     """
     pairs = F.flatten(F.transform(gt, lambda g: F.transform(pr, lambda p: F.struct(G.iou(G.of(g), G.of(p)).alias("iou"), g["idx"].alias("g"), p["idx"].alias("p")))))
     order = F.sort_array(F.filter(pairs, lambda x: x["iou"] >= least), asc=False)
-    none = F.filter(order, lambda x: F.lit(False))
-    return F.aggregate(order, none, lambda acc, x: F.when(F.exists(acc, lambda y: (y["g"] == x["g"]) | (y["p"] == x["p"])), acc).otherwise(F.array_append(acc, x)))
+    add = lambda acc, x: F.when(F.exists(acc, lambda y: (y["g"] == x["g"]) | (y["p"] == x["p"])), acc).otherwise(F.array_append(acc, x))
+    return let(order, lambda o: F.aggregate(o, F.slice(o, F.lit(1), F.lit(0)), add))
 
 
 def ordered_matches(gt: Column, pr: Column, test) -> Column:
@@ -140,8 +141,8 @@ def nms(boxes: Column, limit: float, mode: str = "candidate") -> Column:
         one = lambda x: G.Box(x.x1, x.y1, x.x2 + 1, x.y2 + 1)
         return G.overlap(one(G.of(kept)), one(G.of(b))) / G.area(one(G.of(b)))
 
-    none = F.filter(order, lambda x: F.lit(False))
-    return F.aggregate(order, none, lambda acc, b: F.when(F.exists(acc, lambda k: over(k, b) > limit), acc).otherwise(F.array_append(acc, b)))
+    add = lambda acc, b: F.when(F.exists(acc, lambda k: over(k, b) > limit), acc).otherwise(F.array_append(acc, b))
+    return let(order, lambda o: F.aggregate(o, F.slice(o, F.lit(1), F.lit(0)), add))
 
 
 def leakage(gold: DataFrame, pred: DataFrame, group: str, least_iou: float = 0.3, least_cover: float = 0.5) -> DataFrame:

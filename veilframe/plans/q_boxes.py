@@ -89,13 +89,12 @@ _OK = "x2 > x1 AND y2 > y1"
     cb AS (SELECT * FROM (SELECT g.instance, {_PAIR} FROM cg g JOIN cp p ON g.instance = p.instance) WHERE {_OK}), {_union("ub", "bth", "instance")}, {_union("up", "boxes_pred", "instance")}, {_union("ucg", "cg", "instance")}, {_union("ucp", "cp", "instance")}, {_union("ucb", "cb", "instance")},
     k AS (SELECT instance FROM boxes_gt UNION SELECT instance FROM boxes_pred), a AS (SELECT k.instance, coalesce(up.area, 0) AS p, coalesce(ub.area, 0) AS b, coalesce(ucg.area, 0) AS cg, coalesce(ucp.area, 0) AS cp, coalesce(ucb.area, 0) AS cb FROM k LEFT JOIN up USING (instance) LEFT JOIN ub USING (instance) LEFT JOIN ucg USING (instance) LEFT JOIN ucp USING (instance) LEFT JOIN ucb USING (instance)),
     f AS (SELECT instance, coalesce(greatest(0, p - b) / nullif(p, 0), 0e0) AS f, least(1e0, coalesce(greatest(0, cp - cb) / nullif(greatest(0, 8000 - cg), 0), 0e0)) AS r FROM a)
-    SELECT instance, round(f, 6) AS false_positive_fraction, round(r, 6) AS removed_fraction, round(((1e0 - f) + (1e0 - r)) / 2e0, 6) AS over_redaction_score FROM f""",
+    SELECT instance, f AS false_positive_fraction, r AS removed_fraction, ((1e0 - f) + (1e0 - r)) / 2e0 AS over_redaction_score FROM f""",
     BOXES,
 )
 def over_redaction(t):
     """What is covered needlessly, of the boxes and of the canvas (SP4, SP5, SP7)."""
-    o = S.over_redaction(*t.boxes(), "instance", 100, 80)
-    return o.select("instance", *[F.round(c, 6).alias(c) for c in o.columns if c != "instance"])
+    return S.over_redaction(*t.boxes(), "instance", 100, 80)
 
 
 _ONE = "greatest(0, least(y.x2, x[1].x2) + 1 - greatest(y.x1, x[1].x1)) * greatest(0, least(y.y2, x[1].y2) + 1 - greatest(y.y1, x[1].y1)) / ((x[1].x2 + 1 - x[1].x1) * (x[1].y2 + 1 - x[1].y1))"
@@ -171,14 +170,14 @@ def region_split(t):
     """WITH b AS (SELECT instance, idx, x1, y1, x2, y2 FROM boxes_gt), c AS (SELECT *, greatest(0, least(x1 - 4, 100)) AS a1, greatest(0, least(y1 - 4, 80)) AS b1, greatest(0, least(x2 + 4, 100)) AS a2, greatest(0, least(y2 + 4, 80)) AS b2 FROM b)
     SELECT instance, idx, CASE WHEN a2 > a1 AND b2 > b1 THEN a1 END AS cx1, CASE WHEN a2 > a1 AND b2 > b1 THEN b2 END AS cy2, round(greatest(0e0, x1 * 6e0 - 2e0), 6) AS px1, round(greatest(0e0, 8e2 - y2 * 1e1 - 2e0), 6) AS py1,
       printf('0 %.8f %.8f %.8f %.8f', (x1 + (least(x2, 200) - x1) / 2e0) / 2e2, (y1 + (least(y2, 160) - y1) / 2e0) / 16e1, (least(x2, 200) - x1) / 2e2, (least(y2, 160) - y1) / 16e1) AS yolo,
-      CASE WHEN least(200, x2 + 20) - greatest(0, x1 - 20) >= 100 AND least(160, y2 + 20) - greatest(0, y1 - 20) >= 30 THEN greatest(0, x1 - 20) END AS region_x1 FROM c""",
+      CASE WHEN least(200, x2 + 20) - greatest(0, x1 - 20) >= 100 AND least(160, y2 + 20) - greatest(0, y1 - 20) >= 30 THEN greatest(0, x1 - 20) ELSE -1 END AS region_x1 FROM c""",
     BOXES,
 )
 def box_transforms(t):
     """Clamped, in page units, as label lines and as crop regions (SP10, SP11, SP15, SP19, SC20)."""
     b, i = G.box(), F.lit
     c, p, r = G.clamp(b, i(100), i(80), 4), G.to_pdf(b, i(600.0), i(800.0), i(100), i(80)), G.region_ok(b, i(200), i(160))
-    return t.boxes()[0].select("instance", "idx", c.x1.alias("cx1"), c.y2.alias("cy2"), F.round(p.x1, 6).alias("px1"), F.round(p.y1, 6).alias("py1"), G.yolo_line(b, i(200), i(160)).alias("yolo"), r.x1.alias("region_x1"))
+    return t.boxes()[0].select("instance", "idx", c.x1.alias("cx1"), c.y2.alias("cy2"), F.round(p.x1, 6).alias("px1"), F.round(p.y1, 6).alias("py1"), G.yolo_line(b, i(200), i(160)).alias("yolo"), F.coalesce(r.x1, F.lit(-1)).alias("region_x1"))
 
 
 @query(

@@ -191,8 +191,7 @@ def video_metrics(t):
     "populated_fields",
     """WITH a AS (SELECT ord, list_filter([CASE WHEN first_name IS NOT NULL THEN 'first_name' END, CASE WHEN last_name IS NOT NULL THEN 'last_name' END, CASE WHEN lower(dob) <> 'n/a' THEN 'dob' END], lambda x: x IS NOT NULL) AS f FROM predicted)
     SELECT ord, array_to_string(f, ',') AS fields, len(f) AS metadata_field_count, len(f) > 0 AS has_signal FROM (SELECT * FROM a)""".replace("len(f) > 0 AS has_signal", "true AS has_signal"),
-    ("predicted",),
-)
+    ("predicted",), wide="metadata_field_count")
 def populated_fields(t):
     """Which fields of a record are filled."""
     m = {k: F.col(k) for k in ("first_name", "last_name", "dob")}
@@ -204,8 +203,7 @@ def populated_fields(t):
     "llm_candidates",
     f"""WITH a AS (SELECT video, frame, conf, {_strip("text")} AS text FROM frames), b AS (SELECT *, lower({_strip("regexp_replace(text, " + lit(f"[{X.SP}]+") + ", ' ', 'g')")}) AS k FROM a), c AS (SELECT *, row_number() OVER (PARTITION BY video, k ORDER BY conf DESC, length(text) DESC, frame) AS same FROM b WHERE length(k) >= 64),
     d AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY conf DESC, length(text) DESC, frame) AS rank FROM c WHERE same = 1) SELECT video, rank, text FROM d WHERE rank <= 2""",
-    ("frames",),
-)
+    ("frames",), wide="rank")
 def llm_candidates(t):
     """The two best distinct texts of a video (T5, F11, ST7)."""
     return FR.llm_candidates(t.frames(), "video", "frame", "text", "conf", 64)
@@ -220,8 +218,9 @@ def candidate_validation(t):
     """Whether a model's record is borne out by its text."""
     g = t.gold()
     c = F.col
-    source = F.concat(F.lit("Pat.: "), c("first_name"), F.lit(" / Case "), (c("ord") + 1000).cast("string"))
-    m = {"first_name": F.when(c("ord") % 3 == 0, F.concat(F.lit("Dr. "), c("first_name"))).otherwise(c("first_name")), "last_name": F.lit(None).cast("string"), "casenumber": F.when(c("ord") % 5 == 0, "999999999").otherwise(F.concat_ws("-", F.lit("1"), F.substring((c("ord") + 1000).cast("string"), 2, 20)))}
+    case = (c("ord") + 1000).cast("string")
+    source = F.concat(F.lit("Pat.: "), c("first_name"), F.lit(" / Case "), case)
+    m = {"first_name": F.when(c("ord") % 3 == 0, F.concat(F.lit("Dr. "), c("first_name"))).otherwise(c("first_name")), "last_name": F.lit(None).cast("string"), "casenumber": F.when(c("ord") % 5 == 0, "999999999").otherwise(F.concat_ws("-", F.left(case, F.lit(1)), F.substring(case, 2, 20)))}
     return g.select("ord", FR.candidate_ok(m, source).alias("valid"))
 
 
@@ -235,8 +234,7 @@ def cache_stats(t):
 @query(
     "top_text_per_lang",
     """WITH q AS (QUALITY), a AS (SELECT lang, doc_id, quality AS score, row_number() OVER (PARTITION BY lang ORDER BY quality DESC, doc_id) AS rank FROM q JOIN documents USING (doc_id) WHERE (length(text) % 100) / 1e2 >= 6e-1 AND length(text) >= 10 AND quality >= 25e-2)
-    SELECT lang, rank, doc_id, score FROM a WHERE rank <= 5""".replace("QUALITY", ORACLES["text_quality_documents"]),
-)
+    SELECT lang, rank, doc_id, score FROM a WHERE rank <= 5""".replace("QUALITY", ORACLES["text_quality_documents"]), wide="rank")
 def top_text_per_lang(t):
     """The five best admitted texts of a language."""
     rows = t.documents.withColumn("conf", (F.length("text") % 100) / 100.0)
@@ -313,7 +311,7 @@ def even_picks(t):
     return rows.select("video", F.explode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.floor(i * (F.col("n") - 1) / 4.0))).alias("frame"))
 
 
-@query("stream_state_events", f"{_ACC} SELECT video, max(first_name) AS first_name, max(last_name) AS last_name, max(dob) AS dob, max(casenumber) AS casenumber, max(examination_date) AS examination_date, count(*) AS frames_processed FROM (SELECT *, coalesce(max(complete::INT) OVER (PARTITION BY video ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM c) WHERE done = 0 GROUP BY video".replace("max(first_name)", "arg_max(first_name, frame)").replace("max(last_name)", "arg_max(last_name, frame)").replace("max(dob)", "arg_max(dob, frame)").replace("max(casenumber)", "arg_max(casenumber, frame)").replace("max(examination_date)", "arg_max(examination_date, frame)"), ("states",))
+@query("stream_state_events", f"{_ACC} SELECT video, max(first_name) AS first_name, max(last_name) AS last_name, max(dob) AS dob, max(casenumber) AS casenumber, max(examination_date) AS examination_date, count(*) AS frames_processed FROM (SELECT *, coalesce(max(complete::INT) OVER (PARTITION BY video ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS done FROM c) WHERE done = 0 GROUP BY video".replace("max(first_name)", "arg_max(first_name, frame)").replace("max(last_name)", "arg_max(last_name, frame)").replace("max(dob)", "arg_max(dob, frame)").replace("max(casenumber)", "arg_max(casenumber, frame)").replace("max(examination_date)", "arg_max(examination_date, frame)"), ("states",), wide="frames_processed")
 def stream_state_events(t):
     """Keyed fill-only state with early stop, from a stream over the rows (ST1, ST2, ST3)."""
     from ..streaming.state import final_states, replay

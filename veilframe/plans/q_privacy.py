@@ -70,8 +70,7 @@ def shift_dates_per_patient(t):
 @query(
     "shift_dates_text",
     """WITH a AS (SELECT o_orderkey, o_orderdate::DATE AS d, sha256(o_orderkey::VARCHAR || strftime(o_orderdate, '%Y-%m-%d')) AS h FROM orders),
-    b AS (SELECT *, ((('0x' || left(h, 32))::UHUGEINT % 836) * ((('0x' || 'ffffffffffffffffffffffffffffffff')::UHUGEINT % 836 + 1) % 836) + ('0x' || right(h, 32))::UHUGEINT % 836) % 836 AS m FROM a) SELECT o_orderkey, (d + (m::INT - 1200))::DATE AS shifted FROM b""",
-)
+    b AS (SELECT *, ((('0x' || left(h, 32))::UHUGEINT % 836) * ((('0x' || 'ffffffffffffffffffffffffffffffff')::UHUGEINT % 836 + 1) % 836) + ('0x' || right(h, 32))::UHUGEINT % 836) % 836 AS m FROM a) SELECT o_orderkey, (d + (m::INT - 1200))::DATE AS shifted FROM b""", text="shifted")
 def shift_dates_text(t):
     """Dates moved within a window by their own hash (M1)."""
     return t.orders.select("o_orderkey", P.shift_date(F.col("o_orderdate").cast("date"), -1200, -365, F.col("o_orderkey").cast("string")).alias("shifted"))

@@ -162,8 +162,7 @@ _M = ("utility_score", "phi_field_recall", "field_accuracy", "speed_score")
     f"""WITH {_RESULTS}, w AS (SELECT *, max(CASE WHEN status = 'skipped' THEN 0 ELSE 1 END) OVER (PARTITION BY input_type, pipeline_id) AS ran FROM u),
     g AS (SELECT input_type, pipeline_id, count(*) FILTER (status <> 'skipped') AS attempted, count(*) FILTER (status = 'ok') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped,
       {", ".join(f"round(coalesce(avg({m}) FILTER (status <> 'skipped' OR ran = 0), 0e0), 6) AS mean_{m}" for m in _M)}, round(avg(removed) FILTER (status <> 'skipped' OR ran = 0), 6) AS mean_removed FROM w GROUP BY input_type, pipeline_id)
-    SELECT *, row_number() OVER (PARTITION BY input_type ORDER BY mean_utility_score DESC, pipeline_id) AS rank FROM g""",
-)
+    SELECT *, row_number() OVER (PARTITION BY input_type ORDER BY mean_utility_score DESC, pipeline_id) AS rank FROM g""", wide="rank")
 def pipeline_summary(t):
     """Counts, means and rank of each pipeline."""
     s = V.pipeline_summary(_results(t), ["input_type", "pipeline_id"], _M, ["removed"])
@@ -187,8 +186,7 @@ def golden_set_audit(t):
 
 @query(
     "result_projection",
-    """SELECT conv_id, turn, length(text) AS recognized_text_chars, sha256(text) AS recognized_text_sha256, role <> 'system' AS has_name, text <> '' AS has_text FROM conversations""",
-)
+    """SELECT conv_id, turn, length(text) AS recognized_text_chars, sha256(text) AS recognized_text_sha256, role <> 'system' AS has_name, text <> '' AS has_text FROM conversations""", wide="recognized_text_chars")
 def result_projection(t):
     """A result without its text: length, hash and presence flags (SC19, F21)."""
     from ..sources.sinks import private_view

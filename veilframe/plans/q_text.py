@@ -39,8 +39,7 @@ _MARKS = "regexp_replace(regexp_replace(regexp_replace(text, {e}, '[EMAIL]', 'g'
     "pii_redact_documents",
     rf"""SELECT doc_id, lang, len(regexp_extract_all(text, {lit(E.EMAIL)})) AS n_email, len(regexp_extract_all(text, {lit(E.PHONE)})) AS n_phone, len(regexp_extract_all(text, {lit(E.IPV4)})) AS n_ip,
         len(list_filter(string_split(regexp_replace(text, {lit(f"[^{WORD}]+")}, ' ', 'g'), ' '), lambda w: regexp_full_match(w, '[0-9]{{5,}}'))) AS n_long_number,
-        regexp_replace(regexp_replace({_MARKS}, {_EDGE}, '\1[NUMBER]\2', 'g'), {_EDGE}, '\1[NUMBER]\2', 'g') AS redacted FROM documents""",
-)
+        regexp_replace(regexp_replace({_MARKS}, {_EDGE}, '\1[NUMBER]\2', 'g'), {_EDGE}, '\1[NUMBER]\2', 'g') AS redacted FROM documents""", wide="n_email n_phone n_ip n_long_number")
 def pii_redact_documents(t):
     """Identifiers counted and replaced."""
     return t.documents.select("doc_id", "lang", *[c.alias(k) for k, c in R.pii_counts(F.col("text")).items()], R.pii_redact(F.col("text")).alias("redacted"))
@@ -128,12 +127,12 @@ def valid_overlay_frames(t):
     b AS (SELECT *, m / greatest(n, 1) AS share, len(list_filter(lw, lambda w: length(w) >= 3 AND length(replace(w, w[1], '')) > 0)) AS rd FROM a),
     c AS (SELECT *, CASE WHEN share > 5e-1 THEN 4e-1 ELSE 0e0 END + CASE WHEN rd = 0 THEN 3e-1 ELSE 0e0 END + CASE WHEN rep > 2 THEN 2e-1 ELSE 0e0 END + CASE WHEN odd > n * 2e-1 THEN 1e-1 ELSE 0e0 END AS score FROM b)
     SELECT doc_id, {_n("text", r"\p{L}")} AS n_letters, {_n("text", r"\p{Nd}")} AS n_digits, m AS n_marks, {_n("text", SP)} AS n_spaces, round(share, 6) AS mark_share, len(lw) AS n_words, rd AS n_readable, rep AS n_repeats, odd AS n_odd,
-      round(score, 6) AS noise, score > 6e-1 OR share > 7e-1 AS is_noise FROM c""",
-)
+      round(score, 6) AS noise, score > 6e-1 OR share > 7e-1 AS is_noise FROM c""", wide="n_letters n_digits n_marks n_spaces n_words n_readable n_repeats n_odd")
 def text_profile_documents(t):
     """Counts, shares and the coarse noise score."""
     p = X.profile(F.col("text"))
-    return t.documents.select("doc_id", *[(F.round(c, 6) if k in ("mark_share", "noise") else c).alias(k) for k, c in p.items()])
+    rows = t.documents.select("doc_id", *[c.alias(k) for k, c in p.items()])
+    return rows.select("doc_id", *[k for k in p if k != "n_chars"], *[(c if k == "is_noise" else F.round(c, 6)).alias(k) for k, c in X.noise_of({k: F.col(k) for k in p}).items()])
 
 
 @query(
@@ -322,8 +321,7 @@ def overlay_metadata(t):
     "overlay_dates",
     r"""SELECT ord, CASE ord % 4 WHEN 0 THEN CASE WHEN ord % 17 <> 0 THEN make_date((ord % 60 + 1940)::INT, (ord % 12 + 1)::INT, (ord % 28 + 1)::INT) END
       WHEN 1 THEN CASE WHEN ord % 17 <> 0 THEN make_date((ord % 60 + 1940)::INT, (ord % 12 + 1)::INT, (ord % 28 + 1)::INT) END END AS dob, CASE WHEN ord % 4 = 1 THEN date '2021-04-03' END AS exam FROM gold""",
-    ("gold",),
-)
+    ("gold",), text="dob exam")
 def overlay_dates(t):
     """Which date is the birth and which the examination (E3); the layouts tell the answer."""
     return t.overlays().select("ord", E.date_roles(F.col("text")).alias("r")).select("ord", "r.dob", "r.exam")
@@ -331,8 +329,7 @@ def overlay_dates(t):
 
 @query(
     "date_parsing",
-    r"""SELECT o_orderkey, o_orderdate::DATE AS dotted, CASE WHEN year(o_orderdate) >= 1950 THEN o_orderdate::DATE END AS short, o_orderdate::DATE AS compact, o_orderdate::DATE AS record, NULL::DATE AS wrong FROM orders""",
-)
+    r"""SELECT o_orderkey, o_orderdate::DATE AS dotted, CASE WHEN year(o_orderdate) >= 1950 THEN o_orderdate::DATE END AS short, o_orderdate::DATE AS compact, o_orderdate::DATE AS record, NULL::DATE AS wrong FROM orders""", text="dotted short compact record wrong")
 def date_parsing(t):
     """Dates written in the reference's forms and read again."""
     d = F.col("o_orderdate")
@@ -347,8 +344,7 @@ def date_parsing(t):
     f"""SELECT ord, CASE WHEN {_g(E.FULL_RULE, 1)} IS NOT NULL THEN {_g(E.FULL_RULE, 2)} WHEN {_g(E.SIMPLE_RULE, 1)} IS NOT NULL THEN {_g(E.SIMPLE_RULE, 2)} END AS first_name,
       CASE WHEN {_g(E.FULL_RULE, 1)} IS NOT NULL THEN {_g(E.FULL_RULE, 1)} ELSE {_g(E.SIMPLE_RULE, 1)} END AS last_name, CASE WHEN {_g(E.FULL_RULE, 1)} IS NOT NULL THEN try_strptime({_g(E.FULL_RULE, 3)}, '%d.%m.%Y')::DATE END AS dob,
       {_g(E.FULL_RULE, 4)} AS casenumber FROM overlays""",
-    ("overlays",),
-)
+    ("overlays",), text="dob")
 def patient_fallback(t):
     """Names, birth and case by the three report rules."""
     return t.overlays().select("ord", E.patient_fallback(F.col("text")).alias("r")).select("ord", "r.first_name", "r.last_name", "r.dob", "r.casenumber")
@@ -356,8 +352,7 @@ def patient_fallback(t):
 
 @query(
     "report_lines",
-    r"""SELECT o_orderkey, 'Meier' AS examiner_last_name, 'Eva' AS examiner_first_name, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE ELSE (o_orderdate + INTERVAL 1 DAY)::DATE END AS examination_date, '10:15' AS examination_time, 'GIF 100' AS endoscope_type, o_orderkey::VARCHAR AS endoscope_sn FROM orders""",
-)
+    r"""SELECT o_orderkey, 'Meier' AS examiner_last_name, 'Eva' AS examiner_first_name, CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate::DATE ELSE (o_orderdate + INTERVAL 1 DAY)::DATE END AS examination_date, '10:15' AS examination_time, 'GIF 100' AS endoscope_type, o_orderkey::VARCHAR AS endoscope_sn FROM orders""", text="examination_date")
 def report_lines(t):
     """Report lines routed by their markers; the last line of a kind wins."""
     day, after = F.date_format("o_orderdate", "dd.MM.yyyy"), F.date_format(F.date_add("o_orderdate", 1), "dd.MM.yyyy")
@@ -365,12 +360,11 @@ def report_lines(t):
     text = F.concat(
         s("Befund\n1. Unters.: Dr. Meier, Eva U-datum: "), day, s(" 10:15\nGerät: GIF 100 Seriennummer: "), F.col("o_orderkey").cast("string"), s("\nText"), F.when(F.col("o_orderkey") % 2 == 1, F.concat(s("\nEingang am: "), after)).otherwise("")
     )
-    lines = t.orders.select("o_orderkey", F.posexplode(F.split(text, "\n")).alias("pos", "line"))
     # the lines of a report stay one row's array: no exchange is needed to pick the last hit
     rows = t.orders.select("o_orderkey", F.split(text, "\n").alias("lines"))
-    exam, scope = F.transform("lines", E.examination_line), F.transform("lines", E.endoscope_line)
+    rows = rows.withColumns({"exam": F.transform("lines", E.examination_line), "scope": F.transform("lines", E.endoscope_line)})
+    exam, scope = F.col("exam"), F.col("scope")
     last = lambda a, k: F.element_at(F.concat(F.array(F.lit(None).cast("date" if k == "examination_date" else "string")), F.filter(F.transform(a, lambda x: x[k]), lambda v: v.isNotNull())), -1).alias(k)
-    del lines
     return rows.select("o_orderkey", *[last(exam, k) for k in ("examiner_last_name", "examiner_first_name", "examination_date", "examination_time")], *[last(scope, k) for k in ("endoscope_type", "endoscope_sn")])
 
 

@@ -161,14 +161,22 @@ def with_views(sql: str, *names: str) -> str:
     return f"WITH {head}{',' + body[4:] if body.upper().startswith('WITH') else ' ' + body}"
 
 
-def query(name: str, sql: str | None = None, views: tuple[str, ...] = ()):
-    """Registers a function of ``Tables`` as a query, with its SQL."""
+def query(name: str, sql: str | None = None, views: tuple[str, ...] = (), wide: str = "", text: str = ""):
+    """Registers a function of ``Tables`` as a query, with its SQL.
+
+    wide: columns that the query casts to 64 bits, as SQL counts have; text: dates that both write as text.
+    """
+    cast = dict.fromkeys(wide.split(), "bigint") | dict.fromkeys(text.split(), "string")
 
     def register(f):
-        QUERIES[name] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
-        QUERIES[name].__doc__ = f.__doc__
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(Tables(spark, sf_dir)).withColumns({c: F.col(c).cast(k) for c, k in cast.items()})
+
+        QUERIES[name] = run
+        run.__doc__ = f.__doc__
         if sql:
-            ORACLES[name] = with_views(sql, *views)
+            whole = with_views(sql, *views)
+            ORACLES[name] = f"SELECT * REPLACE ({', '.join(f'{c}::VARCHAR AS {c}' for c in text.split())}) FROM ({whole})" if text else whole
         return f
 
     return register
