@@ -14,6 +14,19 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table over all cores.
+
+    A file of one row group is read by one task, however many cores there are.  Tables of more
+    than ``SMALL`` bytes have files and row groups enough, and aren't shuffled.
+    """
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+
+
 class Tables:
     """``t.orders`` and the like; derived tables are methods."""
 
@@ -23,7 +36,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(df) if name in ("documents", "conversations", "orders") else df
 
     def frames(self) -> DataFrame:
         return self.conversations.select(
