@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, decontaminate, licenses, lm, near_dup, packing, quality, secrets, substring_dedup, suffix_dedup
+from . import ann, decontaminate, licenses, lm, near_dup, packing, quality, secrets, sql, substring_dedup, suffix_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,4 +60,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_lm_scoring, op2_substring_dedup, op3_benchmark_decontamination, op4_secret_scans, op5_license_scans, op6_nearest_neighbours, op7_quality_classifier, op8_minhash_near_dedup, op9_packing, op10_suffix_array_dedup, pipeline)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_license_scans": sql.LICENSES, "op10_suffix_array_dedup": sql.REPEATS}
