@@ -89,6 +89,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, small: int = 64 << 20) -> DataFrame:
+    """A table of less than ``small`` bytes over all cores, as one task reads a row group; larger tables as they are."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < small else df
+
+
 def docs_by_bucket(docs: DataFrame, n: int) -> DataFrame:
     """(b, doc_id, text) of documents with an id, hashed on the id.
 

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import ann, decontaminate, licenses, lm, near_dup, packing, quality, secrets, sql, substring_dedup, suffix_dedup
+from .exchange import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
