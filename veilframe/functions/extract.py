@@ -159,8 +159,8 @@ def date_candidates(c: Column) -> Column:
             F.struct(
                 s["i"].alias("at"),
                 german_date(d).alias("day"),
-                F.when(F.right(around[s["i"]], F.lit(32)).rlike(r"(?i)(?:\bDOB|\bgeb(?:oren)?|Geb\.Dat(?:um)?|Geburtsdatum)\s*[.:-]?\s*\z"), "dob")
-                .when(F.right(around[s["i"]], F.lit(32)).rlike(r"(?i)(?:\bDat(?:um|e)|\bUntersuchung|\bExam(?:ination)?)\s*[.:-]?\s*\z"), "exam")
+                F.when(F.right(around[s["i"]], F.lit(32)).rlike(r"(?i)(?:Geburtsdatum|Geb\.Dat(?:um|)|\bgeb(?:oren|)|\bDOB)\s*[-:.]?\s*\z"), "dob")
+                .when(F.right(around[s["i"]], F.lit(32)).rlike(r"(?i)(?:\bExam(?:ination|)|\bUntersuchung|\bDat(?:um|e))\s*[-:.]?\s*\z"), "exam")
                 .alias("role"),
                 F.left(around[s["i"] + 1], F.lit(16)).rlike(r"\A\s+[0-9]{1,2}[:.][0-9]{2}").alias("timed"),
             ),
@@ -211,7 +211,7 @@ def _roles(known: Column) -> Column:
 _PAT = r"(?i)(?:Patientin|Patient|Pat\.|Pat):?"
 _S = f"[{SP}]"
 _HN = f"[{NAME}-]+"
-FULL_RULE = rf"{_PAT}{_S}*({_HN})[,{SP}]+({_HN}){_S}+(?:geboren am|geboren|Geb\.Dat\.|geb\.):?{_S}*([0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}})(?:.*?(?:Fallnummer|Fallnr\.|Fall\.Nr\.|Fall-Nr):?{_S}*([0-9]+))?"
+FULL_RULE = rf"{_PAT}{_S}*({_HN})[,{SP}]+({_HN}){_S}+(?:geboren am|geboren|Geb\.Dat\.|geb\.):?{_S}*([0-9]{{1,2}}\.[0-9]{{1,2}}\.[0-9]{{4}})(?:.*?(?:Fall-Nr|Fall\.Nr\.|Fallnr\.|Fallnummer):?{_S}*([0-9]+))?"
 SIMPLE_RULE = rf"{_PAT}{_S}*({_HN})[,{SP}]+({_HN})"
 TITLED_RULE = rf"{_PAT}{_S}*((?:Dr\.|Prof\.|Herr|Frau)?{_S}*[{NAME}\-{SP}]+)"
 

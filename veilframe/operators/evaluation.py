@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.fuzzy import ratio_udf, token_sort_udf
 
-NAMES = ("first_name", "last_name", "examiner_first_name", "examiner_last_name")
+NAMES = tuple("examiner_last_name examiner_first_name last_name first_name".split())
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -148,7 +148,8 @@ def ranked(summary: DataFrame, by: str, score: str, tie: str) -> DataFrame:
     return summary.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(F.desc(score), F.col(tie))))
 
 
-UTILITY = {"phi_field_recall": 0.35, "field_accuracy": 0.25, "text_score": 0.15, "speed_score": 0.10, "box_coverage": 0.05, "over_redaction_score": 0.05, "stability_score": 0.05}
+_PARTS = "phi_field_recall field_accuracy text_score speed_score box_coverage over_redaction_score stability_score"
+UTILITY = dict(zip(_PARTS.split(), (0.35, 0.25, 0.15, 0.1, 0.05, 0.05, 0.05)))
 
 
 def speed_score(latency: Column, target: float) -> Column:

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from .evaluation import ratio
 
-FIELDS = ("first_name", "last_name", "dob", "casenumber", "examination_date")
-SIGNAL = (*FIELDS, "gender", "examination_time", "examiner_first_name", "examiner_last_name", "endoscope_type", "endoscope_sn")
+FIELDS = tuple("first_name last_name dob casenumber examination_date".split())
+SIGNAL = (*FIELDS, *"endoscope_sn endoscope_type examiner_last_name examiner_first_name examination_time gender".split())
 
 
 def frame_ranges(frames: DataFrame, video: str, frame: str) -> DataFrame:
