@@ -79,3 +79,36 @@ def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(1, 20)] + [(100, i) for i in range(101, 130)] + [(129, 300), (200, 201)]
     got = {(x.doc_id, x.root) for x in N.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
     assert got == {(i, 1) for i in range(2, 21)} | {(i, 100) for i in [*range(101, 130), 300]} | {(201, 200)}
+
+
+def test_edited_copies_found_as_by_brute_force(spark):
+    r = random.Random(8)
+    rows = []
+    for g in range(120):
+        base = text(r, r.choice([60, 150, 400]))
+        words = len(base.split())
+        rows += [(2 * g, base), (2 * g + 1, edited(r, base, round(words * r.uniform(0.05, 0.1))))]
+    exact = {(2 * g, 2 * g + 1) for g in range(120) if jaccard(rows[2 * g][1], rows[2 * g + 1][1]) >= N.THRESHOLD}
+    assert len(exact) > 110
+    got = {(x.keeper, x.doc_id) for x in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got <= exact and len(got) >= 0.9 * len(exact)
+
+
+def test_links_connect_a_bucket():
+    r = random.Random(9)
+    base = text(r, 200)
+    texts = [base, *(edited(r, base, k % 40) for k in range(299)), text(r, 200)]
+    sk = N.odd_sketches(N.signatures(pa.array(texts))[1])
+    sure, most = N.max_ones(0.75), N.max_ones(0.3)
+    src, dst = N._links(sk, np.arange(len(sk)), sure, most)
+    d = N.ones(sk, sk)
+    assert (d[src, dst] <= most).all()
+
+    def groups(edges):
+        root = list(range(len(sk)))
+        for i, j in edges:
+            i, j = root[i], root[j]
+            root = [min(i, j) if x in (i, j) else x for x in root]
+        return root
+
+    assert groups(zip(src, dst)) == groups(zip(*np.nonzero(d <= most)))

@@ -1,4 +1,4 @@
-"""MinHash near-duplicates, verified with odd sketches.
+"""MinHash near-duplicates: odd sketches choose candidates, exact Jaccard settles them.
 
 ``SAMPLES`` MinHash values over hashed word shingles give ``BANDS`` bands of
 ``ROWS`` values for candidates, and are folded into a parity bitmap of ``BITS``
@@ -9,8 +9,13 @@ where similarity is high.
 
 Documents with the same shingle set have the same bitmap; they are collapsed first,
 so groups of thousands of exact copies cost one row each.  Inside a band's bucket
-every pair of distinct bitmaps is compared; no bucket is capped.  Pairs at or above
-the threshold are joined into groups by alternating star contraction.
+every pair of distinct bitmaps is compared; no bucket is capped.  A pair is a candidate
+if its estimate is at most ``MARGIN`` below the threshold; pairs of one bucket that a
+chain of estimates ``SURE`` above the threshold joins already aren't listed again.  Each
+candidate's exact Jaccard similarity over its shingle sets then decides; the texts of
+one connected group of candidates meet in one task for that, so each is moved once, however
+many pairs it is in.  Pairs at or above the threshold are joined into groups by alternating
+star contraction.
 
 Cases: null, empty and word-free texts have no shingles and never have duplicates;
 texts shorter than a shingle count as one shingle; rows without an id aren't compared;
@@ -27,7 +32,8 @@ from pyspark.sql import functions as F
 from . import words as W
 from .exchange import cut, partitions
 
-SHINGLE, SAMPLES, BANDS, ROWS, BITS, THRESHOLD = 3, 96, 16, 6, 512, 0.7
+SHINGLE, SAMPLES, BANDS, ROWS, BITS, THRESHOLD = 3, 96, 24, 4, 512, 0.5
+MARGIN, SURE, MOST_SLOTS = 0.2, 0.25, 1 << 26
 SKETCH_SCHEMA = "doc_id long, sketch binary, bands array<long>"
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 1 << 62, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,30 +109,36 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays([doc, pa.array([r.tobytes() for r in sk], pa.binary()), lists], names=["doc_id", "sketch", "bands"])
 
 
-def _links(sk: np.ndarray, ids: np.ndarray, most: int):
-    """Edges that connect, and only connect, the documents of one bucket whose bitmaps are close enough."""
-    parent = np.arange(len(ids))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
+def _links(sk: np.ndarray, ids: np.ndarray, sure: int, most: int):
+    """Candidates of one bucket: edges that connect what at most ``sure`` ones apart connects, and all other pairs at most ``most`` apart."""
+    group = np.arange(len(ids))
+    tree, loose = [], []
     for a in range(0, len(ids), 256):
         for b in range(a, len(ids), 1024):
-            near = ones(sk[a : a + 256], sk[b : b + 1024]) <= most
-            for i, j in zip(*np.nonzero(near)):
-                i, j = root(a + i), root(b + j)
-                if i != j:
-                    parent[max(i, j)] = min(i, j)
-    r = np.array([root(i) for i in range(len(ids))])
-    at = np.flatnonzero(r != np.arange(len(ids)))
-    return ids[at], ids[r[at]]
+            d = ones(sk[a : a + 256], sk[b : b + 1024])
+            i, j = np.nonzero(d <= most)
+            close = d[i, j] <= sure
+            i, j = i + a, j + b
+            ahead = i < j
+            i, j, close = i[ahead], j[ahead], close[ahead]
+            x, y = i[close], j[close]
+            first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else []
+            for lo, hi in zip(first, [*first[1:], len(x)]):
+                other, at = np.unique(group[y[lo:hi]], return_index=True)
+                new = other != group[x[lo]]
+                if new.any():
+                    tree += [(x[lo], k) for k in y[lo:hi][at[new]]]
+                    group[np.isin(group, other[new])] = group[x[lo]]
+            apart = ~close & (group[i] != group[j])
+            loose.append((i[apart], j[apart]))
+    i, j = (np.concatenate(c) for c in zip(*loose))
+    apart = group[i] != group[j]
+    x, y = np.array(tree, np.int64).reshape(-1, 2).T
+    return ids[np.concatenate([x, i[apart]])], ids[np.concatenate([y, j[apart]])]
 
 
 def _pairs(threshold: float):
-    most = max_ones(threshold)
+    sure, most = max_ones(min(1.0, threshold + SURE)), max_ones(max(0.05, threshold - MARGIN))
 
     def run(batches):
         """Rows of a partition, sorted by band hash; a bucket may span batches."""
@@ -143,7 +155,7 @@ def _pairs(threshold: float):
             near = _POP[(sk[s] ^ sk[s + 1]).view(np.uint16)].sum(axis=1, dtype=np.int32) <= most
             a, b = [ids[s[near]]], [ids[s[near] + 1]]
             for i, j in zip(starts[some & ~two], ends[some & ~two]):
-                x, y = _links(sk[i:j], ids[i:j], most)
+                x, y = _links(sk[i:j], ids[i:j], sure, most)
                 a.append(x)
                 b.append(y)
             a, b = np.concatenate(a), np.concatenate(b)
@@ -169,6 +181,79 @@ def _pairs(threshold: float):
     return run
 
 
+def _settle(threshold: float):
+    def edges(texts: dict[int, list[np.ndarray]], near: dict[int, list[int]]):
+        """Edges that connect what the candidates at or above the threshold connect."""
+        parent = {i: i for i in texts}
+
+        def root(i):
+            while parent[i] != i:
+                parent[i] = parent[parent[i]]
+                i = parent[i]
+            return i
+
+        for i, others in near.items():
+            for j in others:
+                a, b = root(i), root(j)
+                if a != b and any(jaccard(x, y) >= threshold for x in texts[i] for y in texts[j]):
+                    parent[max(a, b)] = min(a, b)
+                    yield min(i, j), max(i, j)
+
+    def run(batches):
+        """Rows of a partition, sorted by group; a group may span batches."""
+        now, texts, near = None, {}, {}
+        for part in W.slices(batches):
+            doc, h = shingles(W.tokenize(part.column("text")))
+            first = np.searchsorted(doc, np.arange(part.num_rows + 1))
+            groups, ids = part.column("root").to_pylist(), part.column("doc_id").to_pylist()
+            found = []
+            for k, (group, i) in enumerate(zip(groups, ids)):
+                if group != now:
+                    found += edges(texts, near)
+                    now, texts, near = group, {}, {}
+                texts.setdefault(i, []).append(np.unique(h[first[k] : first[k + 1]]))
+                near[i] = part.column("near")[k].as_py() or []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["src", "dst"])
+        if found := list(edges(texts, near)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found)], names=["src", "dst"])
+
+    return run
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two arrays of distinct values; two empty ones have 0."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _having(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``rows`` without most of those whose doc_id isn't in ``ids``, unshuffled; a bitmap of hashes of bounded size lets some others pass."""
+    slots = min(MOST_SLOTS, 1 << max(12, (16 * ids.count()).bit_length()))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+    words = ids.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(slots // 64, np.int64)
+    bitmap[words["at"].to_numpy()] = words["bits"].to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        for part in batches:
+            s = part.column("slot").to_numpy()
+            yield part.filter(pa.array((shared.value[s >> 6] >> (s & 63)) & 1 == 1)).select(["doc_id", "text"])
+
+    return rows.select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, text string")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """Edges (src, dst) of exact Jaccard similarity at or above the threshold that connect what all such pairs among ``pairs`` connect."""
+    found = components(pairs)
+    roots = found.unionByName(found.select(F.col("root").alias("doc_id"), "root").distinct())
+    near = pairs.groupBy(F.col("src").alias("doc_id")).agg(F.collect_set("dst").alias("near"))
+    named = cut(roots.join(near, "doc_id", "left"))
+    grouped = _having(rows, named.select("doc_id")).join(named, "doc_id").repartition(partitions(rows.sparkSession), "root").sortWithinPartitions("root")
+    return grouped.select("root", "doc_id", "text", "near").mapInArrow(_settle(threshold), "src long, dst long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, root) for each vertex of an undirected graph (src < dst): the root is the least id of its component.
 
@@ -200,7 +285,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     copies = same.where(F.size("members") > 1).select(F.col("head").alias("src"), F.explode("members").alias("dst")).where("src < dst")
     banded = same.select(F.explode("bands").alias("band"), "head", "sketch")
     pairs = banded.repartition(partitions(spark), "band").sortWithinPartitions("band", "head").mapInArrow(_pairs(threshold), "src long, dst long")
-    return components(pairs.unionByName(copies).where("src < dst")).select("doc_id", F.col("root").alias("keeper"))
+    near = verified(cut(pairs.where("src < dst").distinct()), rows, threshold)
+    return components(near.unionByName(copies)).select("doc_id", F.col("root").alias("keeper"))
 
 
 def report(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
