@@ -42,3 +42,19 @@ def test_redaction(spark):
     at = text.index(key)
     assert (1, at, at + len(key)) in spans and not any(d in (2, 3, 4) for d, *_ in spans)
     assert S.scan(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_every_key_of_one_run(spark):
+    keys = ["9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "Zk3Qx81LpVb7RtY2", "X7QZP3LK9WV2MJ4T8RBN"]
+    calm = "_configuration_reference_documentation_repository_environment_understanding_administration_password="
+    runs = {2: keys[0] + calm + keys[1], 3: keys[1] + calm + keys[2] + calm + keys[0], 1: calm + keys[2]}
+    docs = spark.createDataFrame([(n, f"Größe {t} end", 1, "") for n, t in runs.items()], KIND)
+    got = {}
+    for x in S.scan(docs).collect():
+        got.setdefault(x.doc_id, []).append((x.start_char, x.end_char))
+    for n, t in runs.items():
+        text = f"Größe {t} end"
+        places = sorted((text.index(k), text.index(k) + len(k)) for k in keys if k in text)
+        assert len(got[n]) == len(places) and all(a <= i and j <= b for (a, b), (i, j) in zip(sorted(got[n]), places))
+    for x in S.redact(docs).collect():
+        assert x.text.count(S.MARK) == x.doc_id and not any(k in x.text for k in keys)

@@ -2,10 +2,11 @@
 
 One first-order model is trained on labelled random strings (hex, base-62, base-64,
 base-32 keys), one on labelled ordinary identifiers, words, numbers, dates and paths.
-A candidate is a maximal run of at least ``MIN_LENGTH`` key characters; its secret is
-the stretch of greatest summed log-likelihood ratio, if that reaches ``LIMIT`` nats
-over at least ``MIN_LENGTH`` characters, extended to whole alphanumeric pieces.  So a
-key inside a path or an assignment is found without its ordinary surroundings.
+A candidate is a maximal run of at least ``MIN_LENGTH`` key characters; its first secret
+is the stretch of greatest summed log-likelihood ratio, if that reaches ``LIMIT`` nats
+over at least ``MIN_LENGTH`` characters, extended to whole alphanumeric pieces.  What is
+left of the run on either side is searched in the same way until no stretch reaches the
+limit.  So each key inside a path or an assignment is found without its ordinary surroundings.
 
 Cases: null and empty texts have no secrets; rows without an id are scanned (id null);
 of stretches with equal sums the first and longest counts; each row is scanned alone,
@@ -128,6 +129,26 @@ def best_stretch(llr: np.ndarray, least: int = MIN_LENGTH) -> tuple[int, int, fl
     return start, end + least, float(gain[end])
 
 
+def stretches(llr: np.ndarray, plain: np.ndarray, limit: float, least: int = MIN_LENGTH) -> list[tuple[int, int, float]]:
+    """(start, end, sum) of all secrets of a run in reading order: the best stretch, extended over ``plain`` characters, then those of the rest on its left and right."""
+    out, rest = [], [(0, len(llr))]
+    while rest:
+        lo, hi = rest.pop()
+        if hi - lo < least:
+            continue
+        a, b, score = best_stretch(llr[lo:hi], least)
+        if score < limit:
+            continue
+        a, b = lo + a, lo + b
+        while a > lo and plain[a - 1]:
+            a -= 1
+        while b < hi and plain[b]:
+            b += 1
+        out.append((a, b, score))
+        rest += [(lo, a), (b, hi)]
+    return sorted(out)
+
+
 def find(texts: pa.Array, table: np.ndarray, limit: float = LIMIT, least: int = MIN_LENGTH):
     """(document, first byte, end byte, ratio) of each secret."""
     off, data = W.buffers(W.fill(texts))
@@ -150,14 +171,8 @@ def find(texts: pa.Array, table: np.ndarray, limit: float = LIMIT, least: int =
     hopeful = np.flatnonzero(np.add.reduceat(np.maximum(llr, 0), first) >= limit)
     doc = np.searchsorted(off, start, side="right") - 1
     for k in hopeful:
-        a, b, score = best_stretch(llr[first[k] : first[k] + size[k]], least)
-        if score >= limit:
-            a, b = int(start[k]) + a, int(start[k]) + b
-            while a > start[k] and _PLAIN[data[a - 1]]:
-                a -= 1
-            while b < end[k] and _PLAIN[data[b]]:
-                b += 1
-            yield int(doc[k]), int(a - off[doc[k]]), int(b - off[doc[k]]), score
+        for a, b, score in stretches(llr[first[k] : first[k] + size[k]], _PLAIN[data[start[k] : end[k]]], limit, least):
+            yield int(doc[k]), int(start[k] + a - off[doc[k]]), int(start[k] + b - off[doc[k]]), score
 
 
 def _spans(texts: pa.Array, table: np.ndarray, limit: float):
