@@ -97,3 +97,18 @@ def test_many_shards_find_the_same(monkeypatch):
     for k in range(12):
         spans = [(a, b) for d, a, b, _, ids in D.find(many, w) if d == k and k in ids]
         assert (int(w.first[k]) + 1, int(w.first[k]) + 21) in spans
+
+
+def test_short_item_inside_a_failing_match(monkeypatch):
+    items = ["p0 p1 a b w1 w2 w3 w4 " + " ".join(f"x{k}" for k in range(12)), "w1 w2 w3 w4", "b w1 w2 w3 z1 z2 z3"]
+    docs = pa.array(["q0 a b w1 w2 w3 w4 q1", "q0 w1 w2 w3 w4", "q0 a b w1 w2 w3 q1"])
+    w = D.W.tokenize(docs)
+
+    def found():
+        return {(d, a - int(w.first[d]), b - int(w.first[d]), *ids) for d, a, b, _, ids in D.find(D.build(range(3), pa.array(items)), w)}
+
+    want = {(0, 3, 7, 1), (0, 2, 6, 2), (1, 1, 5, 1), (2, 2, 6, 2)}
+    assert found() == want
+    monkeypatch.setattr(D, "SHARD_STATES", 1)
+    assert len(D.build(range(3), pa.array(items)).shards) == 3
+    assert found() == want

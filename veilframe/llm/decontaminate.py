@@ -2,10 +2,12 @@
 
 The normalised words of all benchmark items form one generalised suffix automaton.
 Each training text streams through it once; the matching length at every word
-(the longest suffix read that occurs in some item) is tracked, and a maximal match
-is removed if it has at least ``MIN_WORDS`` words or covers at least ``COVERAGE`` of
-an item that contains it (items of fewer than ``MIN_ITEM`` words count by coverage
-only if they match whole).
+(the longest suffix read that occurs in some item) is tracked, and along the suffix
+links the length for every item.  Each item's maximal match is removed if it has at
+least ``MIN_WORDS`` words or covers at least ``COVERAGE`` of the item (items of fewer
+than ``MIN_ITEM`` words count by coverage only if they match whole), whether or not a
+longer match with another item holds it; a match inside a longer removed one adds its
+item to that one.
 
 Only words of the benchmark's vocabulary can move the automaton, so the texts are
 first mapped to vocabulary numbers in numpy; a run of known words too short to reach
@@ -127,29 +129,35 @@ def build(ids, texts: pa.Array, min_words: int = MIN_WORDS, coverage: float = CO
 
 def _needed(item: int, min_words: int, coverage: float) -> int:
     """Words of a match with which an item of this length counts as leaked."""
-    whole = item if item < MIN_ITEM * 2 else max(MIN_ITEM, int(np.ceil(coverage * item)))
+    whole = item if item < MIN_ITEM else max(MIN_ITEM, int(np.ceil(coverage * item)))
     return min(min_words, whole)
 
 
 def _matches(shard: Shard, seq: list[int], least: int):
-    """(start, end, state) of each maximal match of at least ``least`` words in a run of known words."""
+    """(start, end, item numbers) of the maximal matches of at least ``least`` words of every item with a run of known words."""
     nxt, link, length = shard.automaton.next, shard.automaton.link, shard.automaton.len
     state = size = 0
-    for i, c in enumerate(seq):
+    live: dict[int, int] = {}  # the words of each item's match that ends here
+    for i, c in enumerate([*seq, None]):
+        while state > 0 and c not in nxt[state]:
+            state = link[state]
+            size = length[state]
         to = nxt[state].get(c)
-        if to is None:
-            if size >= least:
-                yield i - size, i, state
-            while state > 0 and c not in nxt[state]:
-                state = link[state]
-                size = length[state]
-            to = nxt[state].get(c)
-            if to is None:
-                size = 0
-                continue
-        state, size = to, size + 1
-    if size >= least:
-        yield len(seq) - size, len(seq), state
+        state, size = (0, 0) if to is None else (to, size + 1)
+        now: dict[int, int] = {}
+        t, n = state, size
+        while n >= least:
+            for k in shard.at[t]:
+                now.setdefault(k, n)
+            t = link[t]
+            n = length[t]
+        over: dict[int, list[int]] = {}
+        for k, n in live.items():
+            if now.get(k) != n + 1:
+                over.setdefault(i - n, []).append(k)
+        for start, found in over.items():
+            yield start, i, found
+        live = now
 
 
 def find(index: Index, w: W.Words, min_words: int = MIN_WORDS, coverage: float = COVERAGE):
@@ -164,12 +172,22 @@ def find(index: Index, w: W.Words, min_words: int = MIN_WORDS, coverage: float =
     ends = np.append(starts[1:], len(group))
     for a, b in zip(*(x[known[starts] & (ends - starts >= index.least)] for x in (starts, ends))):
         seq = at[a:b].tolist()
+        spans: dict[tuple[int, int], dict[int, float]] = {}
         for shard in index.shards:
-            for i, j, state in _matches(shard, seq, index.least):
-                hit = [shard.items[k] for k in shard.at[state]]
-                hit = [(item, n) for item, n in hit if j - i >= _needed(n, min_words, coverage)]
-                if hit:
-                    yield int(w.doc[a]), int(a + i), int(a + j), max(min(1.0, (j - i) / n) for _, n in hit), sorted(item for item, _ in hit)
+            for i, j, found in _matches(shard, seq, index.least):
+                for item, n in (shard.items[k] for k in found):
+                    if j - i >= _needed(n, min_words, coverage):
+                        shares = spans.setdefault((i, j), {})
+                        shares[item] = max(shares.get(item, 0.0), min(1.0, (j - i) / n))
+        kept: list[tuple[int, int, dict[int, float]]] = []
+        for (i, j), shares in sorted(spans.items(), key=lambda s: (s[0][0], -s[0][1])):
+            around = [k for k in kept if k[1] >= j]
+            for _, _, more in around:
+                more.update({item: max(share, more.get(item, 0.0)) for item, share in shares.items()})
+            if not around:
+                kept.append((i, j, shares))
+        for i, j, shares in kept:
+            yield int(w.doc[a]), int(a + i), int(a + j), max(shares.values()), sorted(shares)
 
 
 def load(benchmark: DataFrame, min_words: int = MIN_WORDS, coverage: float = COVERAGE) -> Index:
