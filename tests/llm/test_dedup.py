@@ -64,12 +64,45 @@ def test_equals_brute_force(spark, operator, seed):
     assert all(x.n_words == x.end_word - x.start_word >= 50 for x in got)
 
 
-def test_longest_grows_by_doubling(spark):
-    texts = corpus(3)
+def longest(texts, start, end, doc):
+    """The greatest 50 * 2^k for which some window of that length that repeats holds a 50-word window of the stretch."""
+    split = {i: t.lower().split() for i, t in texts.items()}
+    best, size = 50, 100
+    while True:
+        places = defaultdict(list)
+        for i, w in split.items():
+            for k in range(len(w) - size + 1):
+                places[tuple(w[k : k + size])].append((i, k))
+        again = {p for ps in places.values() if len(ps) > 1 for p in ps}
+        if not again:
+            return best
+        if any((doc, q) in again for q in range(max(0, start - size + 50), end - 49)):
+            best = size
+        size *= 2
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_longest_equals_brute_force(spark, seed):
+    texts = corpus(seed)
+    r = random.Random(seed)
+    # a passage that two documents share, whose surroundings are shared with others
+    words = [f"p{i}" for i in range(700)]
+    for i in range(70, 82):
+        a = r.randint(0, 400)
+        texts[i] = " ".join([f"q{r.randint(0, 10**9)}" for _ in range(r.randint(0, 30))] + words[a : a + r.randint(60, 300)])
     got = substring_dedup.repeats(spark.createDataFrame([*texts.items()], "doc_id long, text string")).collect()
-    assert {x.longest for x in got} <= {50 * 2**k for k in range(4)}
-    whole = [x for x in got if x.doc_id == 51]
-    assert [(x.n_words, x.longest, x.first) for x in whole] == [(300, 200, False)]
+    assert len({x.longest for x in got}) > 2
+    for x in got:
+        assert x.longest == longest(texts, x.start_word, x.end_word, x.doc_id), x
+
+
+@pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup], ids=["doubling", "suffix array"])
+def test_very_long_text(spark, operator):
+    r = random.Random(5)
+    words = [f"w{r.randint(0, 10**9)}" for _ in range(400_000)]
+    rows = [(1, " ".join(words)), (2, "x " + " ".join(words[1000:301_000]))]
+    got = {(x.doc_id, x.start_word, x.end_word, x.first) for x in operator.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, 1000, 301_000, True), (2, 1, 300_001, False)}
 
 
 @pytest.mark.parametrize("operator", [substring_dedup, suffix_dedup], ids=["doubling", "suffix array"])

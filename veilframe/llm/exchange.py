@@ -7,6 +7,9 @@ spills the exchange, but its cost per record is a few bytes of copying.
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
@@ -71,28 +74,66 @@ def unpack(batches, names: Sequence[str], dtypes: Sequence[str]) -> list[np.ndar
 
 
 def by_bucket(df: DataFrame, n: int) -> DataFrame:
-    return df.repartition(n, "b")
+    """Bucket k in partition k: hashing the bucket once more would leave a third of the partitions empty."""
+    return df.repartitionById(n, F.col("b"))
+
+
+_own: list[str] = []
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared folder; a temporary one only where none is set."""
+    """A new folder under the cluster's shared folder, deleted when the driver ends.
+
+    Only a session of one process (``local`` master) may do without ``spark.checkpoint.dir``.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="veilframe-")
-    return f"{base.rstrip('/')}/veilframe-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="veilframe-"))
+            atexit.register(shutil.rmtree, _own[0], True)
+        base = "file://" + _own[0]
+    path = f"{base.rstrip('/')}/veilframe-{uuid.uuid4().hex}"
+    fs, at = _files(spark, path)
+    fs.deleteOnExit(at)
+    return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write and reread, which ends the lineage in storage that outlives executors."""
+def _files(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def store(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write and reread, which ends the lineage in storage that outlives executors; the folder is for ``drop``."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    return store(df)[0]
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of ``store`` that nothing reads any more."""
+    fs, at = _files(spark, path)
+    fs.delete(at, True)
 
 
-def spread(df: DataFrame, small: int = 64 << 20) -> DataFrame:
-    """A table of less than ``small`` bytes over all cores, as one task reads a row group; larger tables as they are."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < small else df
+def spread(df: DataFrame) -> DataFrame:
+    """A table that has fewer splits than the session has cores over all of them; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def docs_by_bucket(docs: DataFrame, n: int) -> DataFrame:
@@ -101,7 +142,12 @@ def docs_by_bucket(docs: DataFrame, n: int) -> DataFrame:
     The plan holds no Python, so that every use of it is one and the same exchange,
     which Spark then runs once.
     """
-    return docs.where(F.col("doc_id").isNotNull()).select(F.pmod(F.hash("doc_id"), F.lit(n)).cast("int").alias("b"), F.col("doc_id").cast("long").alias("doc_id"), "text").repartition(n, "b")
+    return by_bucket(docs.where(F.col("doc_id").isNotNull()).select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("b"), F.col("doc_id").cast("long").alias("doc_id"), "text"), n)
+
+
+def rows_by_bucket(docs: DataFrame, n: int) -> DataFrame:
+    """(b, doc_id, text) of all rows, hashed on id and text, so that rows without an id don't meet in one bucket."""
+    return by_bucket(docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("b"), F.col("doc_id").cast("long").alias("doc_id"), "text"), n)
 
 
 def one_row_per_id(docs: DataFrame) -> DataFrame:

@@ -9,17 +9,17 @@ whole corpus and smoothed by interpolated absolute discounting:
 which in backoff form is an automaton: each context is a state; a seen n-gram is an arc
 with weight log p(w | h) to the longest context that ends the text read; every state has a
 failure arc with weight log lambda(h) to the state of its context without the oldest symbol.
-n-grams of more than two symbols with a count below ``MIN_COUNT`` are pruned (c(h.) and
-N1+(h.) are those of the kept arcs, so each state still sums to one).
+No n-gram is pruned: the model holds all that the corpus has, and grows with it.
 
-The model grows with the corpus and is never gathered whole: documents are hashed to
-blocks; a block counts its own n-grams, the counts meet by context, and exactly the arcs
+The model is never gathered whole: documents are hashed to blocks; a block counts its own n-grams, the counts meet by context, and exactly the arcs
 that a block's documents can take come back to it.  There the automaton is built and each
 text is read once from left to right, carrying the state.
 
-Cases: a null or empty text is scored as start, end (n_symbols 1); several rows of one id
-count and score as one document, the least text; rows without an id neither count nor
-score; an empty corpus gives no rows.
+Cases: a null or empty text is scored as start, end (n_symbols 1); every row counts and is
+scored, rows without an id (id null) and several rows of one id too, so equal rows have equal
+scores; a very long text is read in lanes of ``LANE`` symbols whose states are the same as in
+one pass; an empty corpus gives no rows; other columns of the table, whatever their names,
+aren't read.
 """
 
 from __future__ import annotations
@@ -30,9 +30,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from . import words as W
-from .exchange import Packer, by_bucket, docs_by_bucket, one_row_per_id, partitions, schema, unpack
+from .exchange import Packer, by_bucket, partitions, rows_by_bucket, schema, unpack
 
-ORDER, DISCOUNT, MIN_COUNT = 5, 0.75, 3
+ORDER, DISCOUNT = 5, 0.75
 BOS, EOS, ALPHABET = 1, 2, 256
 LANE = 256
 SCHEMA = "doc_id long, n_symbols int, log_prob double, perplexity double"
@@ -106,19 +106,15 @@ def _merge(full: np.ndarray, count: np.ndarray, order: int):
         full, count = part, c
 
 
-def smooth(h: np.ndarray, sym: np.ndarray, count: np.ndarray, discount: float, min_count: int):
-    """share = (c - D) / c(h.) and rest = lambda(h) of each distinct, sorted (context, symbol); which arcs are kept."""
-    keep = (count >= min_count) | (h >> np.uint64(56) < 2)
-    h, count = h[keep], count[keep].astype(np.float64)
-    if not len(h):
-        return keep, np.zeros(0), np.zeros(0)
+def smooth(h: np.ndarray, count: np.ndarray, discount: float):
+    """share = (c - D) / c(h.) and rest = lambda(h) of each distinct, sorted (context, symbol)."""
     lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
     size = np.diff(np.append(lead, len(h)))
-    total = np.repeat(np.add.reduceat(count, lead), size)
-    return keep, (count - discount) / total, discount * np.repeat(size, size) / total
+    total = np.repeat(np.add.reduceat(count.astype(np.float64), lead), size)
+    return (count - discount) / total, discount * np.repeat(size, size) / total
 
 
-def smooth_blocks(n: int, discount: float, min_count: int):
+def smooth_blocks(n: int, discount: float):
     def run(batches):
         h, sym, count, home = unpack(batches, *COUNTS)
         order = np.lexsort((sym, h))
@@ -126,23 +122,9 @@ def smooth_blocks(n: int, discount: float, min_count: int):
         packer = Packer(*ARCS, n)
         if len(h):
             lead = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (sym[1:] != sym[:-1])]))
-            size = np.diff(np.append(lead, len(h)))
-            keep, share, rest = smooth(h[lead], sym[lead], np.add.reduceat(count.astype(np.int64), lead), discount, min_count)
-            at = np.cumsum(keep) - 1
-            pick = np.repeat(keep, size)
-            which = np.repeat(at, size)[pick]
-            yield from packer.add(home[pick], h[pick], sym[pick], share[which], rest[which])
-            # a block that meets a context only before pruned symbols still needs its failure arc
-            kept = h[lead][keep]
-            lost = np.flatnonzero(~pick) if len(kept) else np.zeros(0, np.int64)
-            place = np.minimum(np.searchsorted(kept, h[lost]), max(0, len(kept) - 1))
-            known = kept[place] == h[lost] if len(kept) else np.zeros(0, bool)
-            lost, place = lost[known], place[known]
-            o = np.lexsort((home[lost], h[lost]))
-            lost, place = lost[o], place[o]
-            new = np.concatenate([[True], (h[lost[1:]] != h[lost[:-1]]) | (home[lost[1:]] != home[lost[:-1]])]) if len(lost) else np.zeros(0, bool)
-            lost, place = lost[new], place[new]
-            yield from packer.add(home[lost], h[lost], np.zeros(len(lost)), np.zeros(len(lost)), rest[place])
+            share, rest = smooth(h[lead], np.add.reduceat(count.astype(np.int64), lead), discount)
+            which = np.repeat(np.arange(len(lead)), np.diff(np.append(lead, len(h))))
+            yield from packer.add(home, h, sym, share[which], rest[which])
         yield from packer.flush()
 
     return run
@@ -169,9 +151,7 @@ class Automaton:
                 self.fail[left[to >= 0]] = to[to >= 0]
                 left = left[to < 0]
         self.rest = np.log(np.maximum(rest[lead], 1e-30))
-        state_of = np.repeat(np.arange(self.n), np.diff(np.append(lead, len(h))))
-        real = sym > 0  # the others only give a failure arc
-        h, sym, share, rest, source = h[real], sym[real], share[real], rest[real], state_of[real]
+        source = np.repeat(np.arange(self.n), np.diff(np.append(lead, len(h))))
         # p(w | h) from the lower orders upwards
         key = (source.astype(np.uint64) << np.uint64(8)) | sym
         p = np.zeros(len(h))
@@ -319,10 +299,10 @@ def score_block(order: int):
     return run
 
 
-def score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT, min_count: int = MIN_COUNT) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, discount: float = DISCOUNT) -> DataFrame:
     """(doc_id, n_symbols, log_prob, perplexity) of every document under the model of all documents."""
     n = partitions(docs.sparkSession)
-    rows = docs_by_bucket(one_row_per_id(docs), n)
+    rows = rows_by_bucket(docs, n)
     counts = by_bucket(rows.mapInArrow(count_blocks(n, order), schema(COUNTS[0])), n)
-    arcs = by_bucket(counts.mapInArrow(smooth_blocks(n, discount, min_count), schema(ARCS[0])), n)
+    arcs = by_bucket(counts.mapInArrow(smooth_blocks(n, discount), schema(ARCS[0])), n)
     return rows.groupBy("b").cogroup(arcs.groupBy("b")).applyInArrow(score_block(order), SCHEMA)

@@ -5,35 +5,39 @@ Lengths are in words.  Level 0 hashes windows of ``FIRST`` = 25 words at winnowe
 least one.  Only around windows that repeat, level 1 hashes the window of ``LEAST`` = 50
 words at every start: a start is *repeated* if its 50 words occur at another place of the
 corpus.  From then on windows that repeat at one length alone are extended to twice that
-length: 100, 200, ... words, each hash made of its two halves' hashes, until no candidates
-survive.  These longer levels only grade a passage (``longest``), so they look at winnowed
-starts (the least hash among L neighbours), whose number halves with each level.
+length: at each level 100, 200, ... words every start whose two halves and all between them
+repeated is looked up again, each hash made of its two halves' hashes, until no candidates
+survive.
 
-The result is exact for passages of 50 words and more: a row is a maximal stretch of
-repeated starts with one role.  ``first`` stretches hold the first occurrence (least
-doc_id, then position) of their windows and stay in a deduplicated corpus; the others are
-copies.  Occurrences within one document count as well.
+The result is exact for passages of 50 words and more, up to the chance that 64-bit hashes
+of different windows meet: a row is a maximal stretch of repeated starts with one role.
+``first`` stretches hold the first occurrence (least doc_id, then position) of their windows
+and stay in a deduplicated corpus; the others are copies.  ``longest`` is the greatest level
+at which a window that repeats holds a window of the stretch.  Occurrences within one
+document count as well.
 
 Cases: null and empty texts and texts under 50 words have no rows; rows without an id
 aren't compared; several rows of one id count as one document, the least text; ties are
-settled by doc_id and position.
+settled by doc_id and position; an empty table gives no rows; a very long text is cut
+between no words: it has as many starts as words; other columns, whatever their names,
+aren't read.
 """
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .exchange import Packer, by_bucket, cut, docs_by_bucket, one_row_per_id, partitions, schema, unpack
+from .exchange import by_bucket, cut, docs_by_bucket, one_row_per_id, partitions
+from .tally import ASK, ASK_FIELDS, Known, answers, ask, firsts
 
 FIRST, LEAST = 25, 50
 SCHEMA = "doc_id long, start_word int, end_word int, n_words int, longest int, first boolean"
-REGIONS = "b int, doc_id long, at int, level int, g binary, first binary, hits binary"
+REGIONS = "b int, doc_id long, at int, n int, level int, g binary, first binary"
+_REGIONS = pa.schema([("b", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int32()), ("n", pa.int32()), ("level", pa.int32()), ("g", pa.binary()), ("first", pa.binary())])
 
 
 def sliding(x: np.ndarray, size: int, op) -> np.ndarray:
@@ -66,115 +70,80 @@ def anchors(w: W.Words) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def emit_anchors(n: int):
-    names, kinds = ["h", "doc", "at", "home"], ["<u8", "<i8", "<i4", "<i4"]
-
+def ask_anchors(n: int):
     def run(batches):
-        packer = Packer(names, kinds, n)
+        """Distinct winnowed windows of each block of a partition."""
+        held: dict[int, list[np.ndarray]] = {}
         for part in W.slices(batches):
             w = W.tokenize(part.column("text"))
             i, h = anchors(w)
-            ids, home = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "b"))
-            d = w.doc[i]
-            yield from packer.add(h % np.uint64(n), h, ids[d], i - w.first[d], home[d])
-        yield from packer.flush()
-
-    return run
-
-
-def groups(h: np.ndarray, doc: np.ndarray, at: np.ndarray):
-    """Order by (hash, doc, position) of distinct places, and which of them share their hash / come first."""
-    order = np.lexsort((at, doc, h))
-    h, doc, at = h[order], doc[order], at[order]
-    if len(h):
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] != at[:-1])])
-        order, h = order[new], h[new]
-    lead = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
-    last = np.append(lead[1:], True) if len(h) else lead
-    return order, lead, ~(lead & last)
-
-
-def repeated(n: int, extra: bool):
-    """Keeps the records whose hash occurs at two places; they return to their document's bucket."""
-    kinds = ["<u8", "<i8", "<i4", "<i4"]
-
-    def run(batches):
-        h, doc, at, home = unpack(batches, ["h", "doc", "at", "home"], kinds)
-        order, lead, many = groups(h, doc, at)
-        keep, lead = order[many], lead[many]
-        packer = Packer(["doc", "at", "g", "first"], ["<i8", "<i4", "<u4", "u1"], n) if extra else Packer(["doc", "at"], ["<i8", "<i4"], n)
-        back = np.argsort(keep, kind="stable")  # documents stay together, which compresses better
-        keep, lead = keep[back], lead[back]
-        cols = (doc[keep], at[keep], (W.mix(h[keep]) >> np.uint64(32)), lead) if extra else (doc[keep], at[keep])
-        yield from packer.add(home[keep], *cols)
-        yield from packer.flush()
+            home = part.column("b").to_numpy(zero_copy_only=False)[w.doc[i]]
+            for b in np.unique(home):
+                held.setdefault(int(b), []).append(np.unique(h[home == b], return_counts=True))
+        for b, parts in held.items():
+            # a hash with several places in a slice is listed twice
+            yield from ask(b, n, np.concatenate([np.repeat(u, np.minimum(c, 2)) for u, c in parts]))
 
     return run
 
 
-def locate(docs: pa.Table, flags: pa.Table, names, kinds):
-    """For slices of a bucket's documents: (part, words, word index of each flagged place, flag columns)."""
-    cols = unpack(flags, names, kinds)
-    order = np.lexsort((cols[1], cols[0]))
-    cols = [c[order] for c in cols]
+def candidates(docs: pa.Table, repeated: Known):
+    """(hash, doc_id, position) of the windows of LEAST words that hold a repeated anchor, of each slice of a block."""
     for part in W.slices(docs.to_batches()):
         w = W.tokenize(part.column("text"))
-        ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-        lo, hi = np.searchsorted(cols[0], ids), np.searchsorted(cols[0], ids, side="right")
-        size = hi - lo
-        pick = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        yield part, w, np.repeat(w.first[:-1], size) + cols[1][pick], [c[pick] for c in cols]
+        at, h = anchors(w)
+        at = at[repeated(h) > 0]
+        if not len(at):
+            continue
+        mark = np.zeros(len(w.hash) + 1, np.int32)
+        mark[at] = 1
+        total = np.concatenate([[0], np.cumsum(mark)])
+        i, h = W.windows(w, LEAST)
+        near = total[i + LEAST - FIRST + 1] - total[i] > 0
+        i, h = i[near], h[near]
+        d = w.doc[i]
+        yield h, part.column("doc_id").to_numpy(zero_copy_only=False)[d], i - w.first[d]
+
+
+def _block(found) -> tuple[np.ndarray, ...]:
+    parts = list(found)
+    return tuple(np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def widen(n: int):
-    """Windows of LEAST words at every start whose window holds a repeated anchor."""
-    names = ["h", "doc", "at", "home"]
+    """Asks for the windows of LEAST words at every start whose window holds a repeated anchor."""
 
-    def run(docs: pa.Table, flags: pa.Table) -> pa.Table:
-        packer = Packer(names, ["<u8", "<i8", "<i4", "<i4"], n)
+    def run(docs: pa.Table, known: pa.Table) -> pa.Table:
         out = []
-        if flags.num_rows and docs.num_rows:
-            for part, w, places, _ in locate(docs, flags, ["doc", "at"], ["<i8", "<i4"]):
-                if not len(places):
-                    continue
-                mark = np.zeros(len(w.hash) + 1, np.int32)
-                mark[places] = 1
-                total = np.concatenate([[0], np.cumsum(mark)])
-                i, h = W.windows(w, LEAST)
-                near = total[i + LEAST - FIRST + 1] - total[i] > 0
-                i, h = i[near], h[near]
-                ids, home = (part.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "b"))
-                d = w.doc[i]
-                out.extend(packer.add(h % np.uint64(n), h, ids[d], i - w.first[d], home[d]))
-        out.extend(packer.flush())
-        return pa.Table.from_batches(out, schema=pa.schema([("b", pa.int32()), *((x, pa.binary()) for x in names)]))
+        if docs.num_rows and known.num_rows:
+            out = list(ask(docs["b"][0].as_py(), n, *_block(candidates(docs, Known(known)))))
+        return pa.Table.from_batches(out, schema=ASK_FIELDS)
 
     return run
 
 
-def regions(batches):
-    """Stretches of repeated starts of each document of a partition."""
-    for_b: dict[int, list] = {}
-    for batch in batches:
-        for k, b in enumerate(batch.column(0).to_pylist()):
-            for_b.setdefault(b, []).append(batch.slice(k, 1))
-    for b, rows in for_b.items():
-        doc, at, g, first = unpack(rows, ["doc", "at", "g", "first"], ["<i8", "<i4", "<u4", "u1"])
-        order = np.lexsort((at, doc))
-        doc, at, g, first = doc[order], at[order], g[order], first[order]
-        if not len(doc):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)]))
-        ends = np.append(starts[1:], len(doc))
-        for k in range(0, len(starts), 20_000):
-            s, e = starts[k : k + 20_000], ends[k : k + 20_000]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.full(len(s), b), pa.int32()), pa.array(doc[s]), pa.array(at[s]), pa.array(np.full(len(s), LEAST), pa.int32()), pa.array([g[i:j].tobytes() for i, j in zip(s, e)], pa.binary()),
-                    pa.array([np.packbits(first[i:j]).tobytes() for i, j in zip(s, e)], pa.binary()), pa.array([b""] * len(s), pa.binary()),
-                ],
-                names=["b", "doc_id", "at", "level", "g", "first", "hits"],
-            )
+def regions(docs: pa.Table, known: pa.Table) -> pa.Table:
+    """Stretches of repeated starts of each document of a block, with the hashes and roles of their windows."""
+    rows = []
+    if docs.num_rows and known.num_rows:
+        second, kept = Known(known, 1), []
+        for h, doc, at in candidates(docs, Known(known)):
+            code = second(h)
+            some = code > 0
+            kept.append((h[some], doc[some], at[some], code[some]))
+        if kept:
+            h, doc, at, code = (np.concatenate(x) for x in zip(*kept))
+            order = np.lexsort((at, doc))
+            h, doc, at, code = h[order], doc[order], at[order], code[order]
+            first, g = firsts(h, doc, at, code), (W.mix(h) >> np.uint64(32)).astype("<u4")
+            starts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)])) if len(doc) else np.zeros(0, np.int64)
+            b = docs["b"][0].as_py()
+            rows = [(b, int(doc[s]), int(at[s]), int(e - s), LEAST, g[s:e].tobytes(), np.packbits(first[s:e]).tobytes()) for s, e in zip(starts, np.append(starts[1:], len(doc)))]
+    return _table(rows)
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(_REGIONS), _REGIONS)], schema=_REGIONS)
 
 
 def doubled(g: np.ndarray, level: int) -> np.ndarray:
@@ -189,102 +158,94 @@ def doubled(g: np.ndarray, level: int) -> np.ndarray:
 
 
 def longer(n: int, level: int):
-    """Winnowed windows of ``level`` words of each region."""
+    """Asks for the windows of ``level`` words at every start of each region."""
 
     def run(batches):
-        packer = Packer(["h", "doc", "at", "home"], ["<u8", "<i8", "<i4", "<i4"], n)
+        held: dict[int, list[np.ndarray]] = {}
         for batch in batches:
-            for b, doc, at, g in zip(*(batch.column(c).to_pylist() for c in ("b", "doc_id", "at", "g"))):
-                h = doubled(np.frombuffer(g, "<u4"), level)
-                i = winnow(h, np.ones(len(h), bool), min(len(h), level)) if len(h) else np.zeros(0, np.int64)
-                yield from packer.add(h[i] % np.uint64(n), h[i], np.full(len(i), doc), i + at, np.full(len(i), b))
-        yield from packer.flush()
+            for b, g in zip(batch.column("b").to_pylist(), batch.column("g")):
+                held.setdefault(b, []).append(doubled(np.frombuffer(g.as_buffer(), "<u4"), level))
+        for b, parts in held.items():
+            yield from ask(b, n, np.concatenate(parts))
 
     return run
 
 
 def survivors(level: int):
-    """Regions cut at the starts that didn't repeat at ``level``; ``hits`` has those that did."""
-
-    def run(left: pa.Table, flags: pa.Table) -> pa.Table:
-        out = {c: [] for c in ("b", "doc_id", "at", "level", "g", "first", "hits")}
-        doc, at = unpack(flags, ["doc", "at"], ["<i8", "<i4"]) if flags.num_rows else (np.zeros(0, np.int64), np.zeros(0, np.int32))
-        order = np.lexsort((at, doc))
-        doc, at = doc[order], at[order]
-        for b, d, a, g in zip(*(left[c].to_pylist() for c in ("b", "doc_id", "at", "g"))):
-            lo, hi = np.searchsorted(doc, d), np.searchsorted(doc, d, side="right")
-            if lo == hi:
-                continue
-            g = np.frombuffer(g, "<u4")
-            h = doubled(g, level)
-            if not len(h):
-                continue
-            mine = winnow(h, np.ones(len(h), bool), min(len(h), level))
-            good = np.isin(mine + a, at[lo:hi])
-            bad = mine[~good]
-            # a repeated longer window holds no start that failed here
-            for s, e in zip(np.concatenate([[0], bad + 1]), np.concatenate([bad + level - LEAST, [len(g)]])):
-                inside = mine[good & (mine >= s) & (mine + level - LEAST < e)]
-                if len(inside):
-                    for c, v in zip(out, (b, d, a + int(s), level, g[s:e].tobytes(), b"", (inside + a).astype("<i4").tobytes())):
-                        out[c].append(v)
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds)})
+    """The maximal stretches of starts of each region that repeat at ``level``."""
+
+    def run(left: pa.Table, known: pa.Table) -> pa.Table:
+        rows = []
+        if left.num_rows and known.num_rows:
+            repeated = Known(known)
+            for b, doc, at, g in zip(*(left[c].to_pylist() for c in ("b", "doc_id", "at", "g"))):
+                g = np.frombuffer(g, "<u4")
+                for s, e in zip(*W.runs(repeated(doubled(g, level)) > 0)):
+                    part = g[s : e + level - LEAST]
+                    rows.append((b, doc, at + int(s), len(part), level, part.tobytes(), None))
+        return _table(rows)
 
     return run
 
 
-def collect(spark) -> None:
-    """Let Spark drop the shuffle files of finished jobs now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, start_word, end_word, n_words, longest, first) of each repeated passage of at least 50 words."""
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = partitions(docs.sparkSession)
     rows = docs_by_bucket(one_row_per_id(docs), n)
-    names = ["h", "doc", "at", "home"]
-    found = by_bucket(rows.mapInArrow(emit_anchors(n), schema(names)), n).mapInArrow(repeated(n, False), schema(["doc", "at"]))
-    wide = rows.groupBy("b").cogroup(by_bucket(found, n).groupBy("b")).applyInArrow(widen(n), schema(names))
-    hits = by_bucket(wide, n).mapInArrow(repeated(n, True), schema(["doc", "at", "g", "first"]))
-    base = cut(by_bucket(hits, n).mapInArrow(regions, REGIONS))
-    collect(spark)
-    levels, level, now = [], LEAST, base
+    zero = answers(rows.mapInArrow(ask_anchors(n), ASK), n)
+    one = answers(rows.groupBy("b").cogroup(zero.groupBy("b")).applyInArrow(widen(n), ASK), n, 1)
+    both = by_bucket(zero.unionByName(one), n)
+    levels, level = [cut(rows.groupBy("b").cogroup(both.groupBy("b")).applyInArrow(regions, REGIONS))], LEAST
     while True:
         level *= 2
-        long = now.where(F.length("g") / 4 > level - LEAST)
-        again = by_bucket(long.mapInArrow(longer(n, level), schema(names)), n).mapInArrow(repeated(n, False), schema(["doc", "at"]))
-        now = cut(long.groupBy("b").cogroup(again.groupBy("b")).applyInArrow(survivors(level), REGIONS))
-        collect(spark)
+        long = levels[-1].where(F.col("n") > level - LEAST)
+        known = answers(long.mapInArrow(longer(n, level), ASK), n)
+        now = cut(by_bucket(long.select("b", "doc_id", "at", "g"), n).groupBy("b").cogroup(known.groupBy("b")).applyInArrow(survivors(level), REGIONS))
         if now.isEmpty():
             break
-        levels.append(now.select("doc_id", "level", "hits"))
-    graded = base.select("doc_id", "at", "g", "first").withColumn("level", F.lit(0))
-    for x in levels:
-        graded = graded.unionByName(x, allowMissingColumns=True)
-    graded = graded.withColumn("hits", F.col("hits").cast("binary")) if "hits" in graded.columns else graded.withColumn("hits", F.lit(None).cast("binary"))
-    return graded.groupBy("doc_id").applyInArrow(_spans, SCHEMA)
-
-
-def _spans(rows: pa.Table) -> pa.Table:
-    out: list[tuple] = []
-    rows = rows.to_pydict()
-    hits: list[tuple[int, np.ndarray]] = [(lv, np.frombuffer(h, "<i4")) for lv, h in zip(rows["level"], rows["hits"]) if h]
-    for doc, at, g, first, level in sorted(zip(*(rows[c] for c in ("doc_id", "at", "g", "first", "level"))), key=lambda r: (r[4], r[1] or 0)):
-        if level:
-            continue
-        size = len(g) // 4
-        role = np.unpackbits(np.frombuffer(first, np.uint8))[:size].astype(bool)
-        longest = np.full(size, LEAST)
-        for lv, p in hits:
-            for q in p[(p >= at) & (p < at + size)] - at:
-                end = q + lv - LEAST + 1
-                longest[q:end] = np.maximum(longest[q:end], lv)
-        for want in (True, False):
-            for s, e in zip(*W.runs(role == want)):
-                out.append((doc, at + int(s), at + int(e) + LEAST - 1, int(e - s) + LEAST - 1, int(longest[s:e].max()), want))
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-    cols = list(zip(*sorted(out))) or [[]] * 6
-    return pa.table({c: pa.array(v, k) for c, v, k in zip(("doc_id", "start_word", "end_word", "n_words", "longest", "first"), cols, kinds)})
+        levels.append(now)
+    graded = levels[0].select("b", "doc_id", "at", "n", "level", "first")
+    for x in levels[1:]:
+        graded = graded.unionByName(x.select("b", "doc_id", "at", "n", "level", "first"))
+    return by_bucket(graded, n).mapInArrow(spans, SCHEMA)
+
+
+def spans(batches):
+    """The stretches of one role of each document of a partition, and the greatest level of each."""
+    rows = pa.Table.from_batches(batches).combine_chunks() if (batches := list(batches)) else None
+    if rows is None or not rows.num_rows:
+        return
+    doc, at, n, level = (rows[c].to_numpy() for c in ("doc_id", "at", "n", "level"))
+    base = np.flatnonzero(level == LEAST)
+    base = base[np.lexsort((at[base], doc[base]))]
+    docs = np.unique(doc)
+    key = (np.searchsorted(docs, doc) << 32) + at
+    size = n[base].astype(np.int64)
+    offset = np.cumsum(size) - size
+    packed = [np.frombuffer(x.as_buffer(), np.uint8) for x in rows["first"].take(pa.array(base)).combine_chunks()]
+    bits = np.unpackbits(np.concatenate(packed))
+    lengths = np.array([len(x) for x in packed]) * 8
+    inside = np.arange(size.sum()) - np.repeat(offset, size)
+    role = bits[np.repeat(np.cumsum(lengths) - lengths, size) + inside].astype(bool)
+    longest = np.full(len(role), LEAST, np.int32)
+    for lv in np.unique(level[level > LEAST]):
+        mine = np.flatnonzero(level == lv)
+        r = np.searchsorted(key[base], key[mine], side="right") - 1
+        place = offset[r] + at[mine] - at[base[r]]
+        step = np.zeros(len(role) + 1, np.int32)
+        np.add.at(step, place, 1)
+        np.add.at(step, place + n[mine], -1)
+        longest[np.cumsum(step)[:-1] > 0] = lv
+    edge = np.zeros(len(role), bool)
+    edge[offset] = True
+    edge[1:] |= role[1:] != role[:-1]
+    s = np.flatnonzero(edge)
+    r = np.searchsorted(offset, s, side="right") - 1
+    start = at[base[r]] + inside[s]
+    words = (np.diff(np.append(s, len(role))) + LEAST - 1).astype(np.int32)
+    top = np.maximum.reduceat(longest, s)
+    for k in range(0, len(s), 100_000):
+        p = slice(k, k + 100_000)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(doc[base[r[p]]]), pa.array(start[p], pa.int32()), pa.array((start + words)[p], pa.int32()), pa.array(words[p]), pa.array(top[p]), pa.array(role[s[p]])], names=["doc_id", "start_word", "end_word", "n_words", "longest", "first"]
+        )
