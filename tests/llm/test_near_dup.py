@@ -8,7 +8,7 @@ import pyarrow as pa
 
 from veilframe.llm import near_dup as N
 
-KIND = "doc_id long, text string, lang string, sketch int, band string, keeper long"
+KIND = "doc_id long, text string, lang string, sketch int, band string, keeper long, gone int, again int, row string, __gone int, src int"
 
 
 def grams(t):
@@ -59,7 +59,7 @@ def test_copies_found_and_clean_documents_kept(spark):
     groups.append(list(range(1000, 1200)))
     rows += [(5000, None), (5001, ""), (5002, ""), (5003, "!?"), (5004, "one"), (5005, "one"), (None, exact), (None, None)]
     groups.append([5004, 5005])
-    docs = spark.createDataFrame([(i, t, "en", 1, "x", 9) for i, t in rows], KIND).repartition(3)
+    docs = spark.createDataFrame([(i, t, "en", 1, "x", 9, 1, 1, "r", 1, 1) for i, t in rows], KIND).repartition(3)
     kept = [x.doc_id for x in N.keep_one(docs).collect()]
     assert sorted(x for x in kept if x is not None and x < 5000) == sorted(min(g) for g in groups[:-1])
     assert {5000, 5001, 5002, 5003, 5004} <= set(kept) and 5005 not in kept
@@ -71,7 +71,7 @@ def test_copies_found_and_clean_documents_kept(spark):
 def test_repeated_ids_and_empty_table(spark):
     assert N.keep_one(spark.createDataFrame([], KIND)).count() == 0
     assert N.report(spark.createDataFrame([], KIND)).count() == 0
-    docs = spark.createDataFrame([(1, "b b b b", "x"), (1, "a a a a", "y"), (2, "c d e f", "z"), (2, "c d e f", "z")], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, "b b b b", "x"), (1, "a a a a", "y"), (2, "c d e f", "z"), (2, "c d e f", "z")], "doc_id long, text string, row string")
     assert sorted((x.doc_id, x.text) for x in N.keep_one(docs).collect()) == [(1, "a a a a"), (2, "c d e f")]
 
 
@@ -112,3 +112,30 @@ def test_links_connect_a_bucket():
         return root
 
     assert groups(zip(src, dst)) == groups(zip(*np.nonzero(d <= most)))
+
+
+def brute_groups(rows, threshold):
+    """Groups of all pairs at or above the threshold, by comparing every pair."""
+    root = {i: i for i, _ in rows}
+    sets = {i: grams(t) for i, t in rows}
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= threshold and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if v == b else v for k, v in root.items()}
+    return {(i, v) for i, v in root.items() if i != v}
+
+
+def test_all_pairs_with_split_buckets_and_groups(spark):
+    r = random.Random(11)
+    base, rows = text(r, 150), []
+    for k in range(90):  # one hot bucket of variants, in a chain and apart
+        rows.append((k, edited(r, base if k % 3 else rows[-1][1] if rows else base, r.choice([1, 3, 8]))))
+    rows += [(100 + k, text(r, 120)) for k in range(40)]
+    rows.append((300, text(r, 60_000)))
+    rows.append((301, edited(r, rows[-1][1], 500)))
+    want = brute_groups(rows, N.THRESHOLD)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = {(x.doc_id, x.keeper) for x in N.near_duplicates(docs).collect()}
+    tiles = {(x.doc_id, x.keeper) for x in N.near_duplicates(docs, tile=8, group=8).collect()}
+    assert whole == tiles == want

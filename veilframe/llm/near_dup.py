@@ -7,19 +7,22 @@ of ones in the XOR of their bitmaps estimates how many samples differ, hence the
 Jaccard similarity: 1 + BITS / (4 * SAMPLES) * ln(1 - 2 d / BITS), which is sharpest
 where similarity is high.
 
-Documents with the same shingle set have the same bitmap; they are collapsed first,
-so groups of thousands of exact copies cost one row each.  Inside a band's bucket
-every pair of distinct bitmaps is compared; no bucket is capped.  A pair is a candidate
-if its estimate is at most ``MARGIN`` below the threshold; pairs of one bucket that a
-chain of estimates ``SURE`` above the threshold joins already aren't listed again.  Each
+Documents with the same shingle set have the same bitmap; only the least id of them goes
+on, so groups of thousands of exact copies cost one row each.  Inside a band's bucket
+every pair of distinct bitmaps is compared; no bucket is capped: one of more than ``TILE``
+bitmaps is cut into parts, and each pair of parts is a task's work of its own.  A pair is a
+candidate if its estimate is at most ``MARGIN`` below the threshold; pairs of one bucket that
+a chain of estimates ``SURE`` above the threshold joins already aren't listed again.  Each
 candidate's exact Jaccard similarity over its shingle sets then decides; the texts of
-one connected group of candidates meet in one task for that, so each is moved once, however
-many pairs it is in.  Pairs at or above the threshold are joined into groups by alternating
-star contraction.
+one connected group of candidates meet for that, in one task up to ``GROUP`` documents, in
+tiles of a pair of parts beyond.  Pairs at or above the threshold are joined into groups by
+alternating star contraction.
 
 Cases: null, empty and word-free texts have no shingles and never have duplicates;
-texts shorter than a shingle count as one shingle; rows without an id aren't compared;
-several rows of one id count as one document (the one with the least text).
+texts shorter than a shingle count as one shingle; a very long text is one document like any
+other, held whole; rows without an id aren't compared and stay; several rows of one id count
+as one document (the one with the least text); of a group the least id stays; an empty table
+gives no rows; other columns pass through ``keep_one`` untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,10 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .exchange import cut, partitions
+from .exchange import cut, drop, free_name, partitions, store
 
 SHINGLE, SAMPLES, BANDS, ROWS, BITS, THRESHOLD = 3, 96, 24, 4, 512, 0.5
-MARGIN, SURE, MOST_SLOTS = 0.2, 0.25, 1 << 26
+MARGIN, SURE, MOST_SLOTS, TILE, GROUP = 0.2, 0.25, 1 << 26, 4096, 512
 SKETCH_SCHEMA = "doc_id long, sketch binary, bands array<long>"
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 1 << 62, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,13 +112,17 @@ def _sketch(batches):
         yield pa.RecordBatch.from_arrays([doc, pa.array([r.tobytes() for r in sk], pa.binary()), lists], names=["doc_id", "sketch", "bands"])
 
 
-def _links(sk: np.ndarray, ids: np.ndarray, sure: int, most: int):
-    """Candidates of one bucket: edges that connect what at most ``sure`` ones apart connects, and all other pairs at most ``most`` apart."""
+def _links(sk: np.ndarray, ids: np.ndarray, sure: int, most: int, split: int = 0):
+    """Candidates of one bucket: edges that connect what at most ``sure`` ones apart connects, and all other pairs at most ``most`` apart.
+
+    With ``split`` only pairs of one row before it and one from it on are looked at.
+    """
     group = np.arange(len(ids))
     tree, loose = [], []
-    for a in range(0, len(ids), 256):
-        for b in range(a, len(ids), 1024):
-            d = ones(sk[a : a + 256], sk[b : b + 1024])
+    for a in range(0, split or len(ids), 256):
+        stop = min(a + 256, split or len(ids))
+        for b in range(split or a, len(ids), 1024):
+            d = ones(sk[a:stop], sk[b : b + 1024])
             i, j = np.nonzero(d <= most)
             close = d[i, j] <= sure
             i, j = i + a, j + b
@@ -140,41 +147,42 @@ def _links(sk: np.ndarray, ids: np.ndarray, sure: int, most: int):
 def _pairs(threshold: float):
     sure, most = max_ones(min(1.0, threshold + SURE)), max_ones(max(0.05, threshold - MARGIN))
 
-    def run(batches):
-        """Rows of a partition, sorted by band hash; a bucket may span batches."""
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def close(parts):
-            band, ids = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            sk = np.concatenate([p[2] for p in parts])
-            starts = np.flatnonzero(np.concatenate([[True], band[1:] != band[:-1]]))
-            ends = np.append(starts[1:], len(band))
-            some = ends - starts > 1
-            two = ends - starts == 2
-            s = starts[two]
-            near = _POP[(sk[s] ^ sk[s + 1]).view(np.uint16)].sum(axis=1, dtype=np.int32) <= most
-            a, b = [ids[s[near]]], [ids[s[near] + 1]]
-            for i, j in zip(starts[some & ~two], ends[some & ~two]):
-                x, y = _links(sk[i:j], ids[i:j], sure, most)
+    def close(parts):
+        key, own, ids, sk = (np.concatenate(x) for x in zip(*parts))
+        starts = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]).any(axis=1)]))
+        ends = np.append(starts[1:], len(key))
+        one = key[starts, 1] == key[starts, 2]
+        two = (ends - starts == 2) & one
+        s = starts[two]
+        near = _POP[(sk[s] ^ sk[s + 1]).view(np.uint16)].sum(axis=1, dtype=np.int32) <= most
+        a, b = [ids[s[near]]], [ids[s[near] + 1]]
+        for i, j, whole in zip(starts, ends, one):
+            split = 0 if whole else int((own[i:j] == own[i]).sum())
+            if (j - i > 2 if whole else split < j - i):
+                x, y = _links(sk[i:j], ids[i:j], sure, most, split)
                 a.append(x)
                 b.append(y)
-            a, b = np.concatenate(a), np.concatenate(b)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
+        a, b = np.concatenate(a), np.concatenate(b)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["src", "dst"])
 
+    def run(batches):
+        """Rows of a partition, sorted by bucket (band, pair of parts); a bucket may span batches."""
+        held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            band = batch.column(0).to_numpy(zero_copy_only=False)
-            ids = batch.column(1).to_numpy(zero_copy_only=False)
-            sk = np.frombuffer(b"".join(x.as_buffer() for x in batch.column(2)), np.uint64).reshape(len(ids), -1)
-            last = int(np.searchsorted(band, band[-1]))
+            band, p, q, own, ids = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
+            key = np.stack([band, p, q], axis=1)
+            sk = np.frombuffer(b"".join(x.as_buffer() for x in batch.column(5)), np.uint64).reshape(len(ids), -1)
+            other = np.flatnonzero((key != key[-1]).any(axis=1))
+            last = int(other[-1]) + 1 if len(other) else 0
             if last:
-                yield close([*held, (band[:last], ids[:last], sk[:last])])
+                yield close([*held, (key[:last], own[:last], ids[:last], sk[:last])])
                 held = []
-            elif held and held[-1][0][-1] != band[0]:
+            elif held and (held[-1][0][-1] != key[0]).any():
                 yield close(held)
                 held = []
-            held.append((band[last:], ids[last:], sk[last:]))
+            held.append((key[last:], own[last:], ids[last:], sk[last:]))
         if held:
             yield close(held)
 
@@ -205,7 +213,7 @@ def _settle(threshold: float):
         for part in W.slices(batches):
             doc, h = shingles(W.tokenize(part.column("text")))
             first = np.searchsorted(doc, np.arange(part.num_rows + 1))
-            groups, ids = part.column("root").to_pylist(), part.column("doc_id").to_pylist()
+            groups, ids = list(zip(*(part.column(c).to_pylist() for c in ("root", "p", "q")))), part.column("doc_id").to_pylist()
             found = []
             for k, (group, i) in enumerate(zip(groups, ids)):
                 if group != now:
@@ -244,48 +252,76 @@ def _having(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return rows.select("doc_id", "text", slot.alias("slot")).mapInArrow(run, "doc_id long, text string")
 
 
-def verified(pairs: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+def _parts(size, most: int, ident: str):
+    """Which of the parts of at most about ``most`` an id lies in."""
+    return F.pmod(F.xxhash64(ident), F.greatest(F.lit(1), F.ceil(size / most))).cast("long")
+
+
+def verified(pairs: DataFrame, rows: DataFrame, threshold: float, group: int = GROUP) -> DataFrame:
     """Edges (src, dst) of exact Jaccard similarity at or above the threshold that connect what all such pairs among ``pairs`` connect."""
     found = components(pairs)
     roots = found.unionByName(found.select(F.col("root").alias("doc_id"), "root").distinct())
-    near = pairs.groupBy(F.col("src").alias("doc_id")).agg(F.collect_set("dst").alias("near"))
-    named = cut(roots.join(near, "doc_id", "left"))
-    grouped = _having(rows, named.select("doc_id")).join(named, "doc_id").repartition(partitions(rows.sparkSession), "root").sortWithinPartitions("root")
-    return grouped.select("root", "doc_id", "text", "near").mapInArrow(_settle(threshold), "src long, dst long")
+    size = found.groupBy("root").agg((F.count("*") + 1).alias("size"))
+    part = cut(roots.join(size, "root").select("doc_id", "root", _parts(F.col("size"), group, "doc_id").alias("part")))
+    end = lambda c, p: part.select(F.col("doc_id").alias(c), F.col("part").alias(p))
+    tiled = pairs.join(part.select(F.col("doc_id").alias("src"), "root", F.col("part").alias("x")), "src").join(end("dst", "y"), "dst")
+    tiled = cut(tiled.select("root", F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q"), "src", "dst"))
+    tile = ["root", "p", "q"]
+    near = tiled.groupBy(*tile, F.col("src").alias("doc_id")).agg(F.collect_set("dst").alias("near"))
+    ends = tiled.join(near.select(*tile, F.col("doc_id").alias("dst")), [*tile, "dst"], "left_anti").select(*tile, F.col("dst").alias("doc_id")).distinct()
+    placed = cut(near.unionByName(ends.withColumn("near", F.lit(None).cast("array<long>"))))
+    grouped = _having(rows, placed.select("doc_id").distinct()).join(placed, "doc_id").repartition(partitions(rows.sparkSession), *tile).sortWithinPartitions(*tile)
+    return grouped.select(*tile, "doc_id", "text", "near").mapInArrow(_settle(threshold), "src long, dst long")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(doc_id, root) for each vertex of an undirected graph (src < dst): the root is the least id of its component.
 
     Alternates the large-star and small-star steps until the edges stay the same; each
-    round is written out, so lineage and shuffle files don't grow with the rounds.
+    round is written out, so lineage and shuffle files don't grow with the rounds.  A
+    vertex's edges are joined with its least neighbour, never gathered in a row.
     """
-    edges = cut(edges.distinct())
+    spark = edges.sparkSession
+    total = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first())
+    edges, path = store(edges.distinct())
+    before = total(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        least = both.groupBy("src").agg(F.min("dst").alias("m"), F.collect_set("dst").alias("near")).withColumn("m", F.least("m", "src"))
-        large = least.select(F.explode("near").alias("dst"), F.col("m").alias("src"), F.col("src").alias("self")).where("dst > self").select("src", "dst").distinct()
-        up = large.groupBy("dst").agg(F.min("src").alias("m"), F.collect_set("src").alias("near"))
-        small = up.select(F.col("m").alias("src"), "dst").unionByName(up.select(F.col("m").alias("src"), F.explode("near").alias("dst"))).where("src < dst").distinct()
-        after = cut(small)
-        check = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
-        done = check(after) == check(edges)
-        edges = after
-        if done:
+        least = both.groupBy("src").agg(F.min("dst").alias("m")).select("src", F.least("m", "src").alias("m"))
+        large = edges.join(least, "src").select(F.col("m").alias("src"), "dst").distinct()
+        low = large.groupBy("dst").agg(F.min("src").alias("m"))
+        small = large.join(low, "dst").select(F.col("m").alias("src"), F.col("src").alias("dst")).unionByName(low.select(F.col("m").alias("src"), "dst"))
+        (edges, now), old = store(small.where("src < dst").distinct()), path
+        drop(spark, old)
+        path, after = now, total(edges)
+        if after == before:
             return edges.select(F.col("dst").alias("doc_id"), F.col("src").alias("root"))
+        before = after
+
+
+def _buckets(banded: DataFrame, tile: int) -> DataFrame:
+    """(band, p, q, own, head, sketch): each row once, in part (0, 0), for a band of at most ``tile`` rows; else in every pair that has its part."""
+    hot = cut(banded.groupBy("band").agg(F.count("*").alias("size")).where(F.col("size") > tile))
+    if hot.isEmpty():
+        return banded.select("band", *(F.lit(0).cast("long").alias(c) for c in ("p", "q", "own")), "head", "sketch")
+    split = banded.join(hot, "band", "left").withColumn("n", F.coalesce(F.ceil(F.col("size") / tile), F.lit(1))).withColumn("own", _parts(F.col("n"), 1, "head"))
+    each = split.select("band", "own", "head", "sketch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
+    return each.select("band", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "head", "sketch")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tile: int = TILE, group: int = GROUP) -> DataFrame:
     """(doc_id, keeper) for each document that a group keeps another document for; keeper is the group's least id."""
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = rows.mapInArrow(_sketch, SKETCH_SCHEMA)
-    # one row for each distinct bitmap; its documents are a star around the least id
-    same = cut(sketched.groupBy("sketch").agg(F.min("doc_id").alias("head"), F.min("bands").alias("bands"), F.collect_set("doc_id").alias("members")))
-    copies = same.where(F.size("members") > 1).select(F.col("head").alias("src"), F.explode("members").alias("dst")).where("src < dst")
-    banded = same.select(F.explode("bands").alias("band"), "head", "sketch")
-    pairs = banded.repartition(partitions(spark), "band").sortWithinPartitions("band", "head").mapInArrow(_pairs(threshold), "src long, dst long")
-    near = verified(cut(pairs.where("src < dst").distinct()), rows, threshold)
+    sketched = cut(rows.mapInArrow(_sketch, SKETCH_SCHEMA))
+    # documents of one bitmap are a star around the least id, which alone goes on
+    heads = sketched.groupBy("sketch").agg(F.min("doc_id").alias("head"))
+    named = sketched.join(heads, "sketch")
+    copies = named.where("doc_id > head").select(F.col("head").alias("src"), F.col("doc_id").alias("dst"))
+    banded = cut(named.where("doc_id = head").select("head", "sketch", "bands")).select(F.explode("bands").alias("band"), "head", "sketch")
+    placed = _buckets(banded, tile).repartition(partitions(spark), "band", "p", "q").sortWithinPartitions("band", "p", "q", "own", "head")
+    pairs = placed.mapInArrow(_pairs(threshold), "src long, dst long")
+    near = verified(cut(pairs.where("src < dst").distinct()), rows, threshold, group)
     return components(near.unionByName(copies)).select("doc_id", F.col("root").alias("keeper"))
 
 
@@ -302,12 +338,12 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Rows without an id stay.  Of several rows with one id the least text stays.
     """
-    gone = near_duplicates(docs, threshold).select(F.col("doc_id").alias("__gone"))
-    left = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("__gone")), "left_anti")
-    twice = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice")))
+    gone, again, row = (free_name(docs, c) for c in ("gone", "again", "row"))
+    left = docs.join(near_duplicates(docs, threshold).select(F.col("doc_id").alias(gone)), docs["doc_id"] == F.col(gone), "left_anti")
+    twice = cut(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias(again)))
     if twice.isEmpty():
         return left
-    cond = left["doc_id"].eqNullSafe(F.col("__twice"))
+    cond = left["doc_id"] == F.col(again)
     several = left.join(twice, cond, "left_semi")
-    chosen = several.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias("__row")).select("__row.*")
+    chosen = several.groupBy("doc_id").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.coalesce("text", F.lit(""))).alias(row)).select(f"{row}.*")
     return left.join(twice, cond, "left_anti").unionByName(chosen)
