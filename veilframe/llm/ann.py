@@ -1,23 +1,28 @@
 """Approximate nearest neighbours with an inverted multi-index.
 
-Each half of the vectors is quantised by its own codebook (Lloyd's algorithm over all
-vectors); a vector lies in the cell of its two centroids.  For each query - every vector is
-one - a heap walks the centroid pairs in the order of their summed distances until the cells
-met hold ``candidates`` vectors; those are reranked by exact distance.
+Each half of the vectors is quantised by its own codebook (Lloyd's algorithm over at most
+about ``FIT`` vectors, those with the least hashes of their ids); every vector is indexed: it
+lies in the cell of its two centroids.  Queries are the rows whose id is divisible by ``every``
+(20; 1 takes all), against all rows.  For each a heap walks the centroid pairs in the order of
+their summed distances until the cells met hold ``need`` vectors; those are reranked by
+exact distance.
 
 How many candidates are needed depends on the data (for vectors without structure it is a
 large share), so it is measured: for ``CALIBRATION`` queries (those with the least hash of
 their id) the exact neighbours are found by one scan, and as many candidates are taken as
 put a share of ``TARGET`` of them within reach.
 
-Only the codebooks, the cells' sizes and the calibration queries are on the driver.
-Entries are grouped by their first centroid; queries travel to the first centroids that
-their walk meets, each split into salts by a bound on a group's size.
-
-Cases: null vectors, vectors with null or non-finite values and vectors of another length
-than most have are ignored; several rows of one id count as one, the least vector; rows
-without an id are ignored; a vector isn't its own neighbour, equal vectors of other ids are;
-equal distances are ranked by id; with fewer than k other vectors there are fewer rows.
+Only the codebooks, the cells' sizes (at most ``MOST`` squared numbers) and the calibration
+queries are on the driver.  Entries are grouped by their first centroid, a large group in
+chunks; queries travel to the chunks of the first centroids that their walk meets, split into
+salts by a bound on a group's size.
+
+Cases: null and empty vectors and vectors with null or non-finite values are ignored; vectors
+of different lengths have no distance: each length is searched by itself; several rows of one
+id count as one, the least vector; rows without an id are ignored; a vector isn't its own
+neighbour, equal vectors of other ids are; equal distances are ranked by id, of any number of
+equal vectors; with fewer than k other vectors there are fewer rows; an empty table gives no
+rows; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -32,7 +37,8 @@ from pyspark.sql import functions as F
 from . import words as W
 from .exchange import Packer, by_bucket, cut, partitions, schema, unpack
 
-K, CALIBRATION, TARGET, ROUNDS, CELL, GROUP_BYTES = 10, 128, 0.96, 6, 50, 48_000_000
+K, EVERY, CALIBRATION, TARGET, ROUNDS, CELL = 10, 20, 128, 0.96, 6, 50
+FIT, MOST, GROUP_BYTES = 200_000, 2048, 48_000_000
 SCHEMA = "vec_id long, neighbor_id long, rank int, distance double"
 
 
@@ -45,16 +51,13 @@ def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.maximum(0, (q * q).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * q @ x.T)
 
 
-def clean(vectors: DataFrame) -> tuple[DataFrame, int]:
-    """(vec_id, v) with finite vectors of the most frequent length, and that length."""
+def clean(vectors: DataFrame) -> DataFrame:
+    """(vec_id, v) with finite vectors, one row an id."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("v"))
-    rows = rows.where("vec_id is not null and v is not null and forall(v, e -> e is not null and not isnan(e) and abs(e) < 1e30)")
-    dims = rows.groupBy(F.size("v").alias("d")).count().where("d > 1").orderBy(F.desc("count"), "d").first()
-    dim = dims["d"] if dims else 2
-    rows = rows.where(F.size("v") == dim)
+    rows = rows.where("vec_id is not null and size(v) > 0 and forall(v, e -> e is not null and not isnan(e) and abs(e) < 1e30)")
     if not rows.groupBy("vec_id").count().where("count > 1").isEmpty():
         rows = rows.groupBy("vec_id").agg(F.min("v").alias("v"))
-    return rows, dim
+    return rows
 
 
 def halves(dim: int):
@@ -146,20 +149,21 @@ def _assign(shared, dim):
     return run
 
 
-def _entries(salts: int, dim: int):
+def _entries(base: np.ndarray, chunks: np.ndarray, salts: int, dim: int):
     def run(batches):
         packer = Packer(["id", "j", "v"], ["<i8", "<i4", "<f4"], 0)
         for batch in batches:
             ids, i, j = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("vec_id", "i", "j"))
             x = matrix(batch, "v", dim)
+            chunk = (W.mix(ids.astype(np.uint64)) % chunks[i].astype(np.uint64)).astype(np.int64)
             for s in range(salts):
-                yield from packer.add(i * salts + s, ids, j, x)
+                yield from packer.add(base[i] + chunk * salts + s, ids, j, x)
         yield from packer.flush()
 
     return run
 
 
-def _queries(shared, salts: int, dim: int):
+def _queries(shared, base: np.ndarray, chunks: np.ndarray, salts: int, dim: int):
     def run(batches):
         books, sizes, need = shared.value
         packer = Packer(["id", "v", "cells"], ["<i8", "<f4", "u1"], 0)
@@ -176,9 +180,12 @@ def _queries(shared, salts: int, dim: int):
                 keys, at = np.unique(who, return_inverse=True)
                 bits = np.zeros((len(keys), sizes.shape[1]), bool)
                 bits[at, cell] = True
+                bits = np.packbits(bits, axis=1)
                 q, i = keys // sizes.shape[0], keys % sizes.shape[0]
-                salt = (W.mix(ids[q].astype(np.uint64)) % np.uint64(salts)).astype(np.int64)
-                yield from packer.add(i * salts + salt, ids[q], x[q], np.packbits(bits, axis=1))
+                salt = (W.mix(ids[q].astype(np.uint64) + np.uint64(1)) % np.uint64(salts)).astype(np.int64)
+                for c in range(int(chunks[i].max(initial=0))):
+                    m = np.flatnonzero(chunks[i] > c)
+                    yield from packer.add(base[i[m]] + c * salts + salt[m], ids[q[m]], x[q[m]], bits[m])
         yield from packer.flush()
 
     return run
@@ -201,12 +208,12 @@ def _rerank(dim: int, n_second: int, k: int, n: int):
                     continue
                 d = distances(part, x[use])
                 d[~mask[:, j[use]] | (qid[a : a + 256, None] == ids[use][None])] = np.inf
-                m = min(len(use), k + 6)
-                top = np.argpartition(d, m - 1, axis=1)[:, :m]
-                who = np.repeat(np.arange(len(part)), m)
-                pick = top.ravel()
-                fine = np.isfinite(d[who, pick])
-                who, pick = who[fine], use[pick[fine]]
+                # all that the k nearest may be: up to the k-th distance and the rounding of both
+                m = min(len(use), k)
+                far = np.partition(d, m - 1, axis=1)[:, m - 1]
+                slack = 1e-5 * ((part * part).sum(1) + (x[use] * x[use]).sum(1).max()) + 1e-12
+                who, pick = np.nonzero((d <= (far + slack)[:, None]) & np.isfinite(d))
+                pick = use[pick]
                 real = np.square(part[who].astype(np.float64) - x[pick]).sum(axis=1)
                 order = np.lexsort((ids[pick], real, who))
                 who, pick, real = who[order], pick[order], real[order]
@@ -233,20 +240,28 @@ def _best(k: int):
     return run
 
 
-def neighbours(vectors: DataFrame, k: int = K, target: float = TARGET) -> DataFrame:
-    """(vec_id, neighbor_id, rank, distance): the k nearest other vectors of every vector."""
+def neighbours(vectors: DataFrame, k: int = K, every: int = EVERY, target: float = TARGET, fit: int = FIT, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """(vec_id, neighbor_id, rank, distance): the k nearest other vectors of every vector whose id is divisible by ``every``."""
     spark = vectors.sparkSession
-    rows, dim = clean(vectors)
-    rows = cut(rows)
-    total = rows.count()
-    size = int(np.clip(np.sqrt(max(1, total) / CELL), 1, 1 << 13))
-    books = learn(rows, dim, size)
-    if total < 2:
-        return spark.createDataFrame([], SCHEMA)
+    rows = cut(clean(vectors))
+    lengths = {r["d"]: r["n"] for r in rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy("d").collect()}
+    out = spark.createDataFrame([], SCHEMA)
+    for dim, total in lengths.items():
+        if total > 1:
+            found = _search(rows.where(F.size("v") == dim), dim, total, k, every, target, fit, group_bytes)
+            out = found if len(lengths) == 1 else out.unionByName(found)
+    return out
+
+
+def _search(rows: DataFrame, dim: int, total: int, k: int, every: int, target: float, fit: int, group_bytes: int) -> DataFrame:
+    spark = rows.sparkSession
+    size = int(np.clip(np.sqrt(total / CELL), 1, MOST))
+    some = rows if total <= fit else cut(rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40)) < int(fit / total * (1 << 40))))
+    books = learn(some, dim, size)
     placed = cut(rows.mapInArrow(_assign(spark.sparkContext.broadcast(books), dim), "vec_id long, v array<float>, i int, j int"))
     sizes = np.zeros((len(books[0]), len(books[1])), np.int64)
-    for r in placed.groupBy("i", "j").count().collect():  # at most total / CELL cells
-        sizes[r["i"], r["j"]] = r["count"]
+    cells = placed.groupBy("i", "j").count().toArrow()  # at most MOST squared rows
+    sizes[cells["i"].to_numpy(), cells["j"].to_numpy()] = cells["count"].to_numpy()
     some = rows.orderBy(F.xxhash64("vec_id", F.lit(7)), "vec_id").limit(CALIBRATION).toArrow().combine_chunks()
     sample = np.concatenate([matrix(b, "v", dim) for b in some.to_batches()])
     true = exact(rows, dim, some["vec_id"].to_numpy(), sample, k)
@@ -264,10 +279,12 @@ def neighbours(vectors: DataFrame, k: int = K, target: float = TARGET) -> DataFr
     need = int(np.quantile(reach, target, method="higher"))
     for q in range(len(sample)):
         share.append(len({i for i, _, _ in walk(d1[q], d2[q], sizes, need)}) / len(books[0]))
-    per_group = total * float(np.mean(share)) * (dim * 4 + 40)
-    salts = max(1, int(np.ceil(per_group / GROUP_BYTES)))
+    asked = placed.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "v")
+    salts = max(1, int(np.ceil(asked.count() * float(np.mean(share)) * (dim * 4 + 40) / group_bytes)))
+    chunks = np.maximum(1, -(-sizes.sum(axis=1) * (dim * 4 + 12) // group_bytes))
+    base = (np.cumsum(chunks) - chunks) * salts
     n = partitions(spark)
-    entries = by_bucket(placed.mapInArrow(_entries(salts, dim), schema(["id", "j", "v"])), n)
-    queries = by_bucket(placed.select("vec_id", "v").mapInArrow(_queries(spark.sparkContext.broadcast((books, sizes, need)), salts, dim), schema(["id", "v", "cells"])), n)
+    entries = by_bucket(placed.mapInArrow(_entries(base, chunks, salts, dim), schema(["id", "j", "v"])), n)
+    queries = by_bucket(asked.mapInArrow(_queries(spark.sparkContext.broadcast((books, sizes, need)), base, chunks, salts, dim), schema(["id", "v", "cells"])), n)
     found = entries.groupBy("b").cogroup(queries.groupBy("b")).applyInArrow(_rerank(dim, len(books[1]), k, n), schema(["q", "id", "d"]))
     return by_bucket(found, n).mapInArrow(_best(k), SCHEMA)
