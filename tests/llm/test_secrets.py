@@ -1,6 +1,9 @@
-"""Secret scans: held-out accuracy, whole texts, cases."""
+"""Secret scans: held-out accuracy, brute force, whole texts, cases."""
 
 import random
+import re
+import string
+import uuid
 
 import pyarrow as pa
 
@@ -58,3 +61,58 @@ def test_every_key_of_one_run(spark):
         assert len(got[n]) == len(places) and all(a <= i and j <= b for (a, b), (i, j) in zip(sorted(got[n]), places))
     for x in S.redact(docs).collect():
         assert x.text.count(S.MARK) == x.doc_id and not any(k in x.text for k in keys)
+
+
+def brute(text, table, limit=S.LIMIT, least=S.MIN_LENGTH):
+    """Spans of all secrets, trying every stretch of every run."""
+    out = []
+    for run in re.finditer(r"[A-Za-z0-9+/=_-]{%d,}" % least, text):
+        raw = run.group().encode()
+        llr = [float(table[([0, *raw])[k], c]) for k, c in enumerate(raw)]
+        rest = [(0, len(raw))]
+        while rest:
+            lo, hi = rest.pop()
+            best = None
+            for b in range(lo + least, hi + 1):
+                total = sum(llr[lo:b])
+                for a in range(lo, b - least + 1):
+                    if best is None or total > best[0] + 1e-9:
+                        best = (total, a, b)
+                    total -= llr[a]
+            if best is None or best[0] < limit:
+                continue
+            _, a, b = best
+            a = lo + re.search(rb"[A-Za-z0-9]*$", raw[lo:a]).start() if raw[lo:a] else a
+            b += re.match(rb"[A-Za-z0-9]*", raw[b:hi]).end()
+            if re.fullmatch(rb"[0-9A-Fa-f-]+", raw[a:b]):
+                b += re.match(rb"(-[0-9A-Fa-f]{4,}(?![A-Za-z0-9]))*", raw[b:hi]).end()
+                a = lo + re.search(rb"((?<![A-Za-z0-9])[0-9A-Fa-f]{4,}-)*$", raw[lo:a]).start()
+            out.append((run.start() + a, run.start() + b))
+            rest += [(lo, a), (b, hi)]
+    return sorted(out)
+
+
+def test_equals_brute_force(spark):
+    r = random.Random(6)
+    table = S.train(S.labelled_samples())
+    key = lambda: "".join(r.choices(string.ascii_letters + string.digits, k=r.randint(16, 40)))
+    calm = ["/second_production_database_password_value=", "/usr/share/doc/", "-", "_", "internationalization", "first=", "2024-01-31", "="]
+    texts = ["first=" + key() + "/second_production_database_password_value=" + key(), key() + " " + key()]
+    for _ in range(60):
+        texts.append("".join(r.choice([key, lambda: r.choice(calm), lambda: " ", lambda: str(uuid.UUID(int=r.getrandbits(128)))])() for _ in range(r.randint(1, 7))))
+    docs = spark.createDataFrame([(k, t, 0, "") for k, t in enumerate(texts)], KIND)
+    got: dict = {k: [] for k in range(len(texts))}
+    for x in S.scan(docs).collect():
+        got[x.doc_id].append((x.start_char, x.end_char))
+    assert sum(map(len, got.values())) > 60
+    for k, t in enumerate(texts):
+        assert sorted(got[k]) == brute(t, table), t
+
+
+def test_keys_and_uuids_leave_nothing_behind(spark):
+    r = random.Random(7)
+    ids = [str(uuid.UUID(int=r.getrandbits(128))) for _ in range(60)]
+    docs = spark.createDataFrame([(k, f"id {u} end", 0, "") for k, u in enumerate(ids)], KIND)
+    texts = {x.doc_id: x.text for x in S.redact(docs).collect()}
+    whole = [k for k in texts if texts[k] == f"id {S.MARK} end"]
+    assert len(whole) >= 55 and all(texts[k] == f"id {ids[k]} end" for k in texts if k not in whole)

@@ -4,13 +4,17 @@ One first-order model is trained on labelled random strings (hex, base-62, base-
 base-32 keys), one on labelled ordinary identifiers, words, numbers, dates and paths.
 A candidate is a maximal run of at least ``MIN_LENGTH`` key characters; its first secret
 is the stretch of greatest summed log-likelihood ratio, if that reaches ``LIMIT`` nats
-over at least ``MIN_LENGTH`` characters, extended to whole alphanumeric pieces.  What is
-left of the run on either side is searched in the same way until no stretch reaches the
-limit.  So each key inside a path or an assignment is found without its ordinary surroundings.
+over at least ``MIN_LENGTH`` characters, extended to whole alphanumeric pieces, and one of
+hexadecimal digits and hyphens on to the hexadecimal pieces that hyphens join to it (the
+groups of a UUID).  What is left of the run on either side is searched in the same way until
+no stretch reaches the limit.  So each key inside a path or an assignment is found without
+its ordinary surroundings.
 
 Cases: null and empty texts have no secrets; rows without an id are scanned (id null);
-of stretches with equal sums the first and longest counts; each row is scanned alone,
-so repeated rows give repeated results.
+of stretches with equal sums the one that ends first counts, and of those the longest; each
+row is scanned alone, so repeated rows give repeated results; a very long text or run is
+scanned whole; an empty table gives no rows; other columns pass through ``redact`` untouched,
+whatever their names, but ``n_chars``, which follows the text.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ MIN_LENGTH, LIMIT, MARK = 16, 12.0, "[SECRET]"
 SCHEMA = "doc_id long, start_char int, end_char int, llr double"
 _KEY = np.zeros(256, bool)
 _KEY[list((string.ascii_letters + string.digits + "+/=_-").encode())] = True
+_HEX = np.zeros(256, bool)
+_HEX[list(b"0123456789abcdefABCDEF")] = True
 _PLAIN = np.zeros(256, bool)
 _PLAIN[list((string.ascii_letters + string.digits).encode())] = True
 
@@ -129,9 +135,10 @@ def best_stretch(llr: np.ndarray, least: int = MIN_LENGTH) -> tuple[int, int, fl
     return start, end + least, float(gain[end])
 
 
-def stretches(llr: np.ndarray, plain: np.ndarray, limit: float, least: int = MIN_LENGTH) -> list[tuple[int, int, float]]:
-    """(start, end, sum) of all secrets of a run in reading order: the best stretch, extended over ``plain`` characters, then those of the rest on its left and right."""
+def stretches(llr: np.ndarray, text: np.ndarray, limit: float, least: int = MIN_LENGTH) -> list[tuple[int, int, float]]:
+    """(start, end, sum) of all secrets of a run in reading order: the best stretch, extended to whole pieces, then those of the rest on its left and right."""
     out, rest = [], [(0, len(llr))]
+    plain, hexa = _PLAIN[text], _HEX[text]
     while rest:
         lo, hi = rest.pop()
         if hi - lo < least:
@@ -144,11 +151,26 @@ def stretches(llr: np.ndarray, plain: np.ndarray, limit: float, least: int = MIN
             a -= 1
         while b < hi and plain[b]:
             b += 1
+        if (hexa[a:b] | (text[a:b] == 45)).all():
+            while (at := _piece(text, hexa, plain, b, hi, 1)) != b:
+                b = at
+            while (at := _piece(text, hexa, plain, a - 1, lo - 1, -1) + 1) != a:
+                a = at
         out.append((a, b, score))
         rest += [(lo, a), (b, hi)]
     return sorted(out)
 
 
+def _piece(text, hexa, plain, at: int, stop: int, step: int) -> int:
+    """Where a hyphen and a whole hexadecimal piece of four characters or more that follow end; ``at`` if none does."""
+    if at == stop or text[at] != 45:
+        return at
+    end = at + step
+    while end != stop and hexa[end]:
+        end += step
+    return end if abs(end - at) > 4 and (end == stop or not plain[end]) else at
+
+
 def find(texts: pa.Array, table: np.ndarray, limit: float = LIMIT, least: int = MIN_LENGTH):
     """(document, first byte, end byte, ratio) of each secret."""
     off, data = W.buffers(W.fill(texts))
@@ -171,7 +193,7 @@ def find(texts: pa.Array, table: np.ndarray, limit: float = LIMIT, least: int =
     hopeful = np.flatnonzero(np.add.reduceat(np.maximum(llr, 0), first) >= limit)
     doc = np.searchsorted(off, start, side="right") - 1
     for k in hopeful:
-        for a, b, score in stretches(llr[first[k] : first[k] + size[k]], _PLAIN[data[start[k] : end[k]]], limit, least):
+        for a, b, score in stretches(llr[first[k] : first[k] + size[k]], data[start[k] : end[k]], limit, least):
             yield int(doc[k]), int(start[k] + a - off[doc[k]]), int(start[k] + b - off[doc[k]]), score
 
 
