@@ -14,23 +14,39 @@ def pairs(t):
     return set(zip(w, w[1:])) if len(w) > 1 else {(x,) for x in w}
 
 
+def score(parts, templates, limit):
+    a = pairs(" ".join(parts))
+    if not a:
+        return None
+    best = max((2 * len(a & pairs(t)) / (len(a) + len(pairs(t))), [-ord(c) for c in n], n)[::2] for n, t in sorted(templates.items()))
+    return best[0] if best[0] >= limit else None
+
+
 def brute(text, templates, limit):
     lines = text.split("\n")
-    units, block = [(0, k, [x]) for k, x in enumerate(lines)], []
-    for k, x in enumerate([*lines, ""]):
+    blocks = []
+    for k, x in enumerate(lines):
         if pairs(x):
-            block.append((k, x))
-        elif block:
-            if len(block) > 1:
-                units.append((1, block[0][0], [y for _, y in block]))
-            block = []
-    for kind, first, parts in units:
-        a = pairs(" ".join(parts))
-        if not a:
-            continue
-        score, name = max((2 * len(a & pairs(t)) / (len(a) + len(pairs(t))), [-ord(c) for c in n], n)[::2] for n, t in sorted(templates.items()))
-        if score >= limit:
-            yield kind, first, len(parts), score
+            if not (blocks and blocks[-1][-1][0] == k - 1):
+                blocks.append([])
+            blocks[-1].append((k, x))
+        sentences = [y for y in re.split(r"[.!?][ \t\r]", x) if pairs(y)]
+        for y in [x, *(sentences if len(sentences) > 1 else [])]:
+            if (s := score([y], templates, limit)) is not None:
+                yield (0 if y is x else 3), k, 1, s
+    most, found = max((len(t.split()) for t in templates.values()), default=0) * (2 - limit) / limit, []
+    for i in range(len(blocks)):
+        for j in range(i, len(blocks)):
+            parts = [x for b in blocks[i : j + 1] for _, x in b]
+            if i == j or len(" ".join(re.findall(r"[^\W_]+", " ".join(parts))).split()) <= most:
+                if (s := score(parts, templates, limit)) is not None:
+                    found.append((-s, i, j))
+                    if i == j and len(blocks[i]) > 1:
+                        yield 1, blocks[i][0][0], len(blocks[i]), s
+    found.sort()
+    for k, (s, i, j) in enumerate(found):
+        if i < j and not any(a <= j and i <= b for _, a, b in found[:k]):
+            yield 2, blocks[i][0][0], blocks[j][-1][0] - blocks[i][0][0] + 1, -s
 
 
 def test_equals_brute_force():
@@ -40,7 +56,7 @@ def test_equals_brute_force():
     for _ in range(80):
         lines = []
         for _ in range(r.randint(1, 8)):
-            w = r.choice([L.TEMPLATES[r.choice(names)], "Plain words of no licence here.", ""]).split()
+            w = r.choice([L.TEMPLATES[r.choice(names)], "Plain words of no licence here.", "", ""]).split()
             for _ in range(r.randint(0, 2)):
                 if w:
                     w[r.randrange(len(w))] = "changed"
@@ -68,3 +84,34 @@ def test_long_licence_over_lines(spark, name):
     text = "Intro\n\n" + "\n".join(" ".join(w[k : k + 9]) for k in range(0, len(w), 9)) + "\n\nCode"
     got = L.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).where("unit = 1").collect()
     assert [(x.license, x.dice) for x in got] == [(name, 1.0)]
+
+
+def rows_of(spark, text):
+    return [(x.unit, x.license, round(x.dice, 2)) for x in L.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()]
+
+
+def paragraphs(name, *starts):
+    """A template with its paragraphs apart, each in lines."""
+    t = L.TEMPLATES[name]
+    at = [0, *(t.index(s) for s in starts), len(t)]
+    w = [t[a:b].split() for a, b in zip(at, at[1:])]
+    return "\n\n".join("\n".join(" ".join(x[k : k + 11]) for k in range(0, len(x), 11)) for x in w)
+
+
+def test_real_layouts(spark):
+    mit = "MIT License\n\nCopyright (c) 2020 Foo Bar\n\n" + paragraphs("MIT", "The above copyright", "THE SOFTWARE IS") + "\n"
+    assert (2, "MIT", 1.0) in rows_of(spark, mit)
+    apache = "Copyright 2020 Foo Bar\n\n" + paragraphs("Apache-2.0 header", "http://", "Unless required")
+    gpl = paragraphs("GPL-3.0 header", "This program is distributed", "You should have")
+    bsd = "Copyright (c) 2020, Foo\n\n" + paragraphs("BSD-3-Clause", "Redistributions of", "Redistributions in", "Neither the", "THIS SOFTWARE")
+    for text, name in ((apache, "Apache-2.0 header"), (gpl, "GPL-3.0 header"), (bsd, "BSD-3-Clause")):
+        for mark in ("", "# ", " * ", "// "):
+            marked = "\n".join((mark + x).rstrip() for x in text.split("\n"))
+            assert (2, name, 1.0) in rows_of(spark, marked), (name, mark)
+    assert (3, "MIT notice", 1.0) in rows_of(spark, "Copyright (c) 2020 Foo Bar. Released under the MIT License.")
+    assert rows_of(spark, "All rights reserved.") == [(0, "All rights reserved", 1.0)]
+
+
+def test_very_long_text(spark):
+    text = "\n\n".join(["Plain words of no licence here."] * 50_000 + [paragraphs("MIT", "The above copyright", "THE SOFTWARE IS")])
+    assert (2, "MIT", 1.0) in rows_of(spark, text)

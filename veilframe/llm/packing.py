@@ -9,9 +9,10 @@ least squares, rounded down, and what is left is packed greedily (best fit decre
 on the histogram).  The plan is a list of (pattern of lengths, repeats); documents take
 its places by their rank within their length, so no document passes through the driver.
 
-Cases: null, empty and token-free texts need no place and get no row; rows without an
-id aren't packed; repeated rows are packed each; ties in length are broken by id and then
-by a hash of the text.
+Cases: null, empty and token-free texts need no place and get no row; rows without an id
+are packed like any other (doc_id null); repeated rows are packed each; ties in length are
+broken by id, those without one first, and then by a hash of the text; an empty table gives
+no rows; other columns, whatever their names, aren't read.
 """
 
 from __future__ import annotations
@@ -43,23 +44,31 @@ def lengths(texts: pa.Array) -> np.ndarray:
     return total[off[1:]] - total[off[:-1]]
 
 
-def nnls(a: np.ndarray, b: np.ndarray, rounds: int = 400) -> np.ndarray:
-    """min |a x - b| over x >= 0, by coordinate descent on the normal equations."""
-    g, h = a.T @ a, a.T @ b
-    x = np.zeros(a.shape[1])
-    grad = -h.copy()
-    diag = np.maximum(np.diag(g), 1e-12)
-    for _ in range(rounds):
-        moved = 0.0
-        for k in range(len(x)):
-            step = max(-x[k], -grad[k] / diag[k])
-            if step:
-                x[k] += step
-                grad += g[k] * step
-                moved = max(moved, abs(step))
-        if moved < 0.25:
-            break
-    return x
+def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """min |a x - b| over x >= 0, by active sets: columns enter one by one until none would lower the residual."""
+    x, used = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    tol = 1e-9 * max(1.0, float(np.abs(a.T @ b).max(initial=0)))
+    barred = np.zeros(a.shape[1], bool)
+    while True:
+        gain = np.where(used | barred, -np.inf, a.T @ (b - a @ x))
+        k = int(gain.argmax()) if len(gain) else 0
+        if not len(gain) or gain[k] <= tol:
+            return x
+        used[k] = True
+        while True:
+            s = np.zeros(len(x))
+            s[used] = np.linalg.lstsq(a[:, used], b, rcond=None)[0]
+            low = used & (s <= 0)
+            if not low.any():
+                break
+            if low[k] and x[k] == 0:  # no descent but by rounding
+                used[k], barred[k], s = False, True, x
+                break
+            x = x + (x[low] / (x[low] - s[low])).min() * (s - x)
+            used &= x > 1e-12
+            x[~used] = 0
+        if s is not x:
+            x, barred = s, np.zeros(len(x), bool)
 
 
 def plan(hist: np.ndarray, window: int = WINDOW, depth: int = DEPTH, groups: int = 120) -> list[tuple[tuple[int, ...], int]]:
@@ -184,8 +193,8 @@ def pack(docs: DataFrame, window: int = WINDOW, depth: int = DEPTH, salts: int =
     offsets), so that a frequent length doesn't meet in one task.
     """
     spark = docs.sparkSession
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
-    pieces = rows.mapInArrow(_pieces(window), SCHEMA).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
+    pieces = rows.mapInArrow(_pieces(window), SCHEMA).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "tie"), F.lit(salts)).cast("int"))
     counts = pieces.groupBy("n_tokens", "salt").count().collect()  # at most window * salts rows
     hist, table = np.zeros(window + 1, np.int64), np.zeros((window + 1, salts), np.int64)
     for r in counts:

@@ -12,7 +12,10 @@ hash of their id); scoring reads every text whole.
 Cases: a null or empty text has one passage without words and gets a score like
 any other; rows without an id are scored too (id null); repeated rows are scored
 each; labels that contradict each other count as the worse one; null labels are
-skipped; without labels of both kinds that model rejects nothing (probability 0).
+skipped; without labels of both kinds that model rejects nothing (probability 0); of equally
+attended passages the first is the top one; documents of equal hash enter the sample by id;
+an empty table gives no rows; a very long text is a bag of many passages; other columns pass
+through ``keep_good`` untouched, whatever their names.
 """
 
 from __future__ import annotations
