@@ -69,3 +69,27 @@ def test_run_is_the_chain_of_stages(spark, folder):
     for _, f in corpus_pipeline.STAGES:
         docs = f(spark, docs, d)
     assert a == {(x.doc_id, x.piece, x.n_tokens) for x in docs.collect()}
+
+
+def test_empty_corpus_and_clashing_columns(spark, folder, tmp_path):
+    d, docs, _ = folder
+    names = "gone again row hits found src dst b h at item_ids keep p_low unit llr sketch tie salt n_tokens".split()
+    kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    rows = [(i, t, "en", "s", len(t), *names) for i, t in docs.items() if i < 100 or i >= 1000]
+    rows += [(2000, docs[0], "en", "s", 0, *names), (2000, docs[0], "en", "s", 0, *names), (None, docs[6], *[None] * 22), (2001, None, *[None] * 22), (2002, "", *[None] * 22)]
+    rows.append((2003, " ".join(f"word{k}" for k in range(300_000)), "en", "s", 0, *names))
+    for n, part in enumerate(([], rows)):
+        out = spark.createDataFrame(part, kind)
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            path = f"{tmp_path}/{n}-{name}"
+            stage(spark, out, d).write.parquet(path)
+            out = spark.read.parquet(path)
+            assert out.columns == [c.split()[0] for c in kind.split(", ")], name
+        last = corpus_pipeline.STAGES[-1][1](spark, out, d).collect()
+        if not part:
+            assert not last
+            continue
+        kept = out.collect()
+        ids = [x.doc_id for x in kept]
+        assert ids.count(2000) <= 1 and {None, 2003} <= set(ids) and all(x.gone in ("gone", None) for x in kept)
+        assert {x.doc_id for x in last} == {x.doc_id for x in kept if x.text}
