@@ -14,17 +14,10 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
-SMALL = 64 << 20
-
-
 def spread(df: DataFrame) -> DataFrame:
-    """A small table over all cores.
-
-    A file of one row group is read by one task, however many cores there are.  Tables of more
-    than ``SMALL`` bytes have files and row groups enough, and aren't shuffled.
-    """
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+    """A table that has fewer splits than the session has cores over all of them: a file of one row group is read by one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 class Tables:
