@@ -76,7 +76,7 @@ def test_empty_corpus_and_clashing_columns(spark, folder, tmp_path):
     names = "gone again row hits found src dst b h at item_ids keep p_low unit llr sketch tie salt n_tokens".split()
     kind = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
     rows = [(i, t, "en", "s", len(t), *names) for i, t in docs.items() if i < 100 or i >= 1000]
-    rows += [(2000, docs[0], "en", "s", 0, *names), (2000, docs[0], "en", "s", 0, *names), (None, docs[6], *[None] * 22), (2001, None, *[None] * 22), (2002, "", *[None] * 22)]
+    rows += [(2000, docs[0], "en", "s", 0, *names), (2000, docs[0], "en", "s", 0, *names), (None, docs[8], *[None] * 22), (2001, None, *[None] * 22), (2002, "", *[None] * 22)]
     rows.append((2003, " ".join(f"word{k}" for k in range(300_000)), "en", "s", 0, *names))
     for n, part in enumerate(([], rows)):
         out = spark.createDataFrame(part, kind)
