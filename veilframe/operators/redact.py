@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as E
 from ..functions import privacy as P
+from ..functions import sensitive as N
 from ..functions import text as X
 from ..functions.fuzzy import replace_name_udf
 
@@ -25,12 +26,15 @@ def pii_counts(c: Column) -> dict[str, Column]:
     """Hits of each kind of identifier."""
     return {
         "n_email": F.regexp_count(c, F.lit(E.EMAIL)), "n_phone": F.regexp_count(c, F.lit(E.PHONE)), "n_ip": F.regexp_count(c, F.lit(E.IPV4)),
+        "n_sensitive": sum((F.regexp_count(c, F.lit(p)) for p, _ in N.MARKS), F.lit(0)),
         "n_long_number": F.size(F.filter(X.tokens(F.regexp_replace(c, f"[^{X.WORD}]+", " ")), lambda w: w.rlike(r"\A[0-9]{5,}\z"))),
     }
 
 
 def pii_redact(c: Column) -> Column:
-    """E-mail addresses, phone numbers, IP addresses and long numbers as marks."""
+    """E-mail and street addresses, names, examiners, dates, case, social security and phone numbers, IP addresses and long numbers as marks."""
+    c = F.regexp_replace(c, E.EMAIL, "[EMAIL]")
+    c = N.mark(F.regexp_replace(c, E.PHONE, "[PHONE]"))
     for pattern, mark in ((E.EMAIL, "[EMAIL]"), (E.PHONE, "[PHONE]"), (E.IPV4, "[IP]")):
         c = F.regexp_replace(c, pattern, mark)
     # an edge belongs to one match alone, so numbers side by side take a second pass

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import extract as E
+from ..functions import sensitive as N
 from ..functions import text as X
 from ..functions.fuzzy import compose, jaro_winkler_udf
 from ..operators import frames as FR
@@ -33,13 +34,16 @@ def _hit(c: str, p: str) -> str:
 
 _EDGE = lit(E.NUMBER)
 _MARKS = "regexp_replace(regexp_replace(regexp_replace(text, {e}, '[EMAIL]', 'g'), {p}, '[PHONE]', 'g'), {i}, '[IP]', 'g')".format(e=lit(E.EMAIL), p=lit(E.PHONE), i=lit(E.IPV4))
+_ALL_MARKS = "text"
+for _p, _m in ((E.EMAIL, "[EMAIL]"), (E.PHONE, "[PHONE]"), *N.MARKS, (E.IPV4, "[IP]")):
+    _ALL_MARKS = f"regexp_replace({_ALL_MARKS}, {lit(_p)}, {lit(_m)}, 'g')"
 
 
 @query(
     "pii_redact_documents",
     rf"""SELECT doc_id, lang, len(regexp_extract_all(text, {lit(E.EMAIL)})) AS n_email, len(regexp_extract_all(text, {lit(E.PHONE)})) AS n_phone, len(regexp_extract_all(text, {lit(E.IPV4)})) AS n_ip,
         len(list_filter(string_split(regexp_replace(text, {lit(f"[^{WORD}]+")}, ' ', 'g'), ' '), lambda w: regexp_full_match(w, '[0-9]{{5,}}'))) AS n_long_number,
-        regexp_replace(regexp_replace({_MARKS}, {_EDGE}, '\1[NUMBER]\2', 'g'), {_EDGE}, '\1[NUMBER]\2', 'g') AS redacted FROM documents""", wide="n_email n_phone n_ip n_long_number")
+        {" + ".join(f"len(regexp_extract_all(text, {lit(p)}))" for p, _ in N.MARKS)} AS n_sensitive, regexp_replace(regexp_replace({_ALL_MARKS}, {_EDGE}, '\1[NUMBER]\2', 'g'), {_EDGE}, '\1[NUMBER]\2', 'g') AS redacted FROM documents""", wide="n_email n_phone n_ip n_long_number n_sensitive")
 def pii_redact_documents(t):
     """Identifiers counted and replaced."""
     return t.documents.select("doc_id", "lang", *[c.alias(k) for k, c in R.pii_counts(F.col("text")).items()], R.pii_redact(F.col("text")).alias("redacted"))
@@ -56,7 +60,7 @@ def pii_by_language(t):
     marks = c
     for p, m in ((E.EMAIL, "[EMAIL]"), (E.PHONE, "[PHONE]"), (E.IPV4, "[IP]")):
         marks = F.regexp_replace(marks, p, m)
-    return t.documents.groupBy("lang").agg(F.count("*").alias("documents"), *[F.sum(x).cast("bigint").alias(k) for k, x in R.pii_counts(c).items() if k != "n_long_number"], F.sum(F.length(marks)).cast("bigint").alias("n_chars"))
+    return t.documents.groupBy("lang").agg(F.count("*").alias("documents"), *[F.sum(x).cast("bigint").alias(k) for k, x in R.pii_counts(c).items() if k not in ("n_long_number", "n_sensitive")], F.sum(F.length(marks)).cast("bigint").alias("n_chars"))
 
 
 _ALLOWED = lit(f"[^{WORD}{SP}.,:;/-ÄÖÜäöüß]")
