@@ -176,10 +176,13 @@ def payload(c: Column, fields: str) -> Column:
 def assembled(record: Column, meta: Column, metrics: Column) -> Column:
     """A report's output: its record, what was extracted where the record has nothing, and its metrics; maps of text."""
     blank = lambda m: F.map_filter(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, v: F.coalesce(F.trim(v) != "", F.lit(False)))
+
+    def over(low: Column, high: Column) -> Column:
+        return F.map_concat(F.map_filter(low, lambda k, v: ~F.map_contains_key(high, k)), high)
+
     out = blank(metrics)
     for m in (meta, record):
-        top = blank(m)
-        out = F.map_concat(F.map_filter(out, lambda k, v, top=top: ~F.map_contains_key(top, k)), top)
+        out = over(out, blank(m))
     return out
 
 

@@ -225,7 +225,11 @@ def without_nulls(m: Column) -> Column:
 
 
 def merge_sources(*records: Column) -> Column:
-    """A map where earlier sources take precedence; nulls, blanks and unknown values give way (R2, Q11)."""
+    """A map where earlier sources take precedence; nulls, blanks and unknown values give way (R2, Q11).
+
+    To take several parts of it, select it into a column first: Spark evaluates nested lambdas
+    wrongly where one projection repeats them.
+    """
     keep = [F.map_filter(r, lambda k, v: v.isNotNull() & ~F.lower(F.trim(v)).isin("", "unknown")) for r in records]
 
     def over(low: Column, high: Column) -> Column:

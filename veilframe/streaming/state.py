@@ -8,9 +8,6 @@ of arrival.
 from __future__ import annotations
 
 import json
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -19,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators.frames import FIELDS
+from ..sources import shared
 
 STATE = "record string, seen int, done boolean"
 
@@ -111,8 +109,7 @@ def replay(rows: DataFrame, build: Callable[[DataFrame], DataFrame], key: str) -
     micro-batch of updates is appended there, and the last one of each key is returned.
     """
     spark = rows.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{base.rstrip('/')}/veilframe-stream-{uuid.uuid4().hex}" if base else tempfile.mkdtemp(prefix="veilframe-")
+    folder = shared.folder(spark)
     rows.write.mode("overwrite").parquet(f"{folder}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
 
@@ -123,9 +120,4 @@ def replay(rows: DataFrame, build: Callable[[DataFrame], DataFrame], key: str) -
     q.awaitTermination()
     out = spark.read.parquet(f"{folder}/out").drop("n")
     cols = [c for c in out.columns if c != "__batch"]
-    last = out.groupBy(key).agg(F.max_by(F.struct(*cols), "__batch").alias("r")).select("r.*")
-    if not base:
-        import atexit
-
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    return last
+    return out.groupBy(key).agg(F.max_by(F.struct(*cols), "__batch").alias("r")).select("r.*")
