@@ -105,3 +105,28 @@ def test_cutoffs_chunks_and_names(spark):
     assert run(spark, ["abcdefg", "", None], X.chunks(c, 3)) == [(["abc", "def", "g"],), ([],), ([],)]
     assert run(spark, ["a b/ü.png", "", None], X.safe_name(c)) == [("a_b_.png",), ("frame",), ("frame",)]
     assert run(spark, ["Dr. med. Anna-Lena Müller"], X.strip_titles(c), X.fold_umlauts(c), X.fold_ascii(c)) == [("anna lena müller", "Dr. med. Anna-Lena Mueller", "Dr. med. Anna-Lena Muller")]
+
+
+def test_text_similarity_query_equals_brute_force(spark, tmp_path):
+    import re
+
+    from veilframe.plans import catalog
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    texts = ["Hallo Welt, das ist ein Text.", "Hallo Welt das war ein längerer Text, der weit hinter achtzig Zeichen noch anders ist als zuvor!", "Hallo Welt das war ein längerer Text, der weit hinter achtzig Zeichen noch anders ist als danach!", "", "kurz"]
+    spark.createDataFrame([(1, k, "user", t) for k, t in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {x.turn: x.similarity for x in catalog.QUERIES["text_similarity"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3, 4}
+    for k in (1, 2):
+        a, b = (" ".join(texts[i].split()) for i in (k, k - 1))
+        aw, bw = (re.findall(r"\w+", x.lower()) for x in (a, b))
+        want = 1 - (distance(a, b) / max(len(a), len(b)) + distance(aw, bw) / max(len(aw), len(bw))) / 2
+        assert abs(got[k] - want) < 1e-5
+    assert got[3] == 0 and got[4] == 0 and got[2] < 1

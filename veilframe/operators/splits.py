@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.privacy import group_split
+from ..sources.shared import folder
 
 
 def split_counts(items: DataFrame, group: str, positive: Column, annotations: Column, seed: int = 0, fraction: float = 0.2) -> DataFrame:
@@ -22,16 +23,25 @@ def shared_groups(items: DataFrame, group: str, split: str) -> DataFrame:
 
 
 def positional_split(items: DataFrame, key: str, train: float, val: float) -> DataFrame:
-    """(key, split) by place in the sorted list of keys, at least one each where there are three (M9)."""
-    rows = items.select(key).distinct()
+    """(key, split) by place in the sorted list of keys, at least one each where there are three (M9).
+
+    Keys are cut into ranges and numbered within each, to which the sizes of the ranges before are
+    added; the ranges are stored, as their bounds come from a sample.
+    """
+    path = folder(items.sparkSession)
+    items.select(key).distinct().repartitionByRange(key).withColumn("__p", F.spark_partition_id()).write.parquet(f"{path}/keys")
+    rows = items.sparkSession.read.parquet(f"{path}/keys")
+    size = rows.groupBy("__p").agg(F.count("*").alias("__n"))
+    # one row a range
+    before = size.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__before"))
     total = rows.agg(F.count("*").alias("n"))
-    at = F.row_number().over(W.orderBy(key)) - 1
+    at = F.row_number().over(W.partitionBy("__p").orderBy(key)) - 1 + F.col("__before")
     n = F.col("n")
     t = F.greatest(F.lit(1), F.floor(n * train))
     v = F.floor(n * val)
     v = F.when((n >= 3) & F.lit(val > 0), F.greatest(F.lit(1), v)).otherwise(v)
     t = F.when((t + v >= n) & (n > 1), F.greatest(F.lit(1), n - v - 1)).otherwise(t)
-    out = rows.withColumn("at", at).crossJoin(F.broadcast(total)).withColumns({"t": t, "v": v})
+    out = rows.join(before, "__p").withColumn("at", at).crossJoin(F.broadcast(total)).withColumns({"t": t, "v": v})
     return out.select(key, F.when(F.col("at") < F.col("t"), "train").when(F.col("at") < F.col("t") + F.col("v"), "val").otherwise("test").alias("split"))
 
 

@@ -266,16 +266,16 @@ _ENGINES = [("tesseract", "(frame * 31 % 97) * 1e0", "1"), ("trocr", "(frame * 1
 
 @query(
     "ensemble_choice",
-    """WITH r AS (SELECT video, frame, unnest([{'engine': 'tesseract', 'place': 1, 's': least(1e0, (frame * 31 % 97) / 1e2), 't': left(text, 60)}, {'engine': 'trocr', 'place': 2, 's': least(1e0, (frame * 17 % 89) / 88e0), 't': left(text, 40)}, {'engine': 'donut', 'place': 3, 's': least(1e0, (frame * 13 % 83) / 82e0), 't': left(text, 50)}], recursive := true) FROM frames)
+    """WITH r AS (SELECT video, frame, unnest([{'engine': 'tesseract', 'place': 1, 's': least(1e0, (frame * 31 % 97) / 1e2), 't': text}, {'engine': 'trocr', 'place': 2, 's': least(1e0, (frame * 17 % 89) / 88e0), 't': '>> ' || text}, {'engine': 'donut', 'place': 3, 's': least(1e0, (frame * 13 % 83) / 82e0), 't': lower(text)}], recursive := true) FROM frames)
     SELECT video, frame, arg_min(engine, {'s': -s, 'p': place}) AS engine, arg_min(t, {'s': -s, 'p': place}) AS text FROM r GROUP BY video, frame""",
     ("frames",),
 )
 def ensemble_choice(t):
     """The engine of the best score and its text."""
     f = t.frames()
-    s = lambda e, x, n: F.struct(F.lit(e).alias("engine"), x.alias("score"), F.left("text", F.lit(n)).alias("text"))
+    s = lambda e, x, text: F.struct(F.lit(e).alias("engine"), x.alias("score"), text.alias("text"))
     n = F.col("frame")
-    rows = f.select(F.struct("video", "frame").alias("key"), F.inline(F.array(s("tesseract", (n * 31 % 97) * 1.0, 60), s("trocr", (n * 17 % 89) / 88.0, 40), s("donut", (n * 13 % 83) / 82.0, 50))))
+    rows = f.select(F.struct("video", "frame").alias("key"), F.inline(F.array(s("tesseract", (n * 31 % 97) * 1.0, F.col("text")), s("trocr", (n * 17 % 89) / 88.0, F.concat(F.lit(">> "), "text")), s("donut", (n * 13 % 83) / 82.0, F.lower("text")))))
     return FR.best_engine(rows, "key", "engine", "text", "score").select("key.video", "key.frame", "engine", "text")
 
 

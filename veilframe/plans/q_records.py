@@ -171,7 +171,7 @@ def pipeline_summary(t):
 
 @query(
     "golden_set_audit",
-    """WITH i AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'text_report' ELSE 'video_frame' END AS input_type, CASE WHEN doc_id % 10 > 0 THEN doc_id % 4 END AS subject_id, CASE WHEN doc_id % 7 > 0 THEN doc_id % 2 END AS grp FROM labels WHERE toxic = 0 OR doc_id % 3 = 0),
+    """WITH i AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'text_report' ELSE 'video_frame' END AS input_type, CASE WHEN doc_id % 10 > 0 THEN doc_id % 4 END AS subject_id, CASE WHEN doc_id % 7 > 0 THEN doc_id % 2 END AS grp FROM labels),
     b AS (SELECT input_type, count(*) AS n, count(DISTINCT grp) AS g FROM i GROUP BY input_type), t AS (SELECT input_type || ' has ' || n || ' samples; require at least 20' AS m FROM b WHERE n < 20 UNION ALL SELECT input_type || ' has ' || g || ' independent source groups; require at least 3' FROM b WHERE g < 3),
     w AS (SELECT count(*) AS sample_count, count(DISTINCT subject_id) AS subject_count, count(DISTINCT grp) AS source_group_count, count(*) FILTER (subject_id IS NULL) AS ns, count(*) FILTER (grp IS NULL) AS ng FROM i)
     SELECT sample_count, subject_count, source_group_count, concat_ws('; ', CASE WHEN ns > 0 THEN ns || ' samples are missing subject_id' END, CASE WHEN ng > 0 THEN ng || ' samples are missing source_group_id' END,
@@ -180,7 +180,7 @@ def pipeline_summary(t):
 def golden_set_audit(t):
     """Why a sample set is no benchmark."""
     d = F.col("doc_id")
-    i = t.labels.where("toxic = 0 or doc_id % 3 = 0").select(F.when(F.col("toxic") == 1, "text_report").otherwise("video_frame").alias("input_type"), F.when(d % 10 > 0, d % 4).alias("subject_id"), F.when(d % 7 > 0, d % 2).alias("source_group_id"))
+    i = t.labels.select(F.when(F.col("toxic") == 1, "text_report").otherwise("video_frame").alias("input_type"), F.when(d % 10 > 0, d % 4).alias("subject_id"), F.when(d % 7 > 0, d % 2).alias("source_group_id"))
     return V.golden_set_audit(i)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import extract as E
 from ..functions import sensitive as N
 from ..functions import text as X
-from ..functions.fuzzy import compose, jaro_winkler_udf
+from ..functions.fuzzy import best_match, compose
 from ..operators import frames as FR
 from ..operators import redact as R
 from .tables import lit, query
@@ -269,17 +269,16 @@ def field_scores(t):
 
 @query(
     "fuzzy_best_match",
-    """WITH b AS (SELECT item_id, left(regexp_replace(text, '[^a-zA-Z ]', '', 'g'), 40) AS snippet FROM benchmark), c AS (SELECT DISTINCT p_name FROM part),
-    s AS (SELECT item_id, p_name, round(jaro_winkler_similarity(snippet, p_name), 9) AS r FROM b, c), m AS (SELECT item_id, max(r) AS ratio, arg_min(p_name, {'r': -r, 'p': p_name}) AS best FROM s GROUP BY item_id)
-    SELECT item_id, CASE WHEN ratio >= 6e-1 THEN best END AS match, round(ratio, 6) AS ratio FROM m""",
+    """WITH n AS (SELECT DISTINCT last_name AS name FROM gold WHERE last_name IS NOT NULL), v AS (SELECT DISTINCT last_name AS value FROM predicted WHERE last_name IS NOT NULL),
+    s AS (SELECT value, name, round(jaro_winkler_similarity(value, name), 9) AS r FROM v, n), m AS (SELECT value, max(r) AS ratio, arg_min(name, {'r': -r, 'p': name}) AS best FROM s GROUP BY value)
+    SELECT ord, CASE WHEN ratio >= 6e-1 THEN best END AS match, round(ratio, 6) AS ratio FROM predicted LEFT JOIN m ON last_name = value""",
+    ("predicted",),
 )
 def fuzzy_best_match(t):
-    """The most similar name of each snippet, if similar enough."""
-    names = t.part.select("p_name").distinct()
-    b = t.benchmark.select("item_id", F.left(F.regexp_replace("text", "[^a-zA-Z ]", ""), F.lit(40)).alias("snippet"))
-    s = b.crossJoin(names).withColumn("r", F.round(jaro_winkler_udf("snippet", "p_name"), 9))
-    m = s.groupBy("item_id").agg(F.max("r").alias("ratio"), F.min_by("p_name", F.struct(-F.col("r"), F.col("p_name"))).alias("best"))
-    return m.select("item_id", F.when(F.col("ratio") >= 0.6, F.col("best")).alias("match"), F.round("ratio", 6).alias("ratio"))
+    """The most similar known name of each read one, if similar enough."""
+    names = t.gold().where("last_name is not null").select(F.col("last_name").alias("name")).distinct()
+    best = best_match(t.predicted().select(F.col("last_name").alias("value")), names, 0.6)
+    return t.predicted().select("ord", F.col("last_name").alias("value")).join(best, "value", "left").select("ord", "match", F.round("ratio", 6).alias("ratio"))
 
 
 @query(
@@ -386,17 +385,11 @@ def representative_text(t):
     return t.predicted().select("ord", X.representative(c("first_name"), c("last_name"), Case=c("report_id"), DOB=c("dob")).alias("text"), F.round(X.metadata_confidence(m), 6).alias("confidence"))
 
 
-@query(
-    "text_similarity",
-    f"""WITH a AS (SELECT conv_id, turn, regexp_replace(left(text, 80), '[^ -~]', '', 'g') AS a, regexp_replace(left(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), 80), '[^ -~]', '', 'g') AS b FROM conversations),
-    c AS (SELECT conv_id, turn, trim(regexp_replace(a, ' +', ' ', 'g')) AS a, trim(regexp_replace(b, ' +', ' ', 'g')) AS b FROM a WHERE b IS NOT NULL), w AS (SELECT *, regexp_extract_all(lower(a), '[{WORD}]+') AS aw, regexp_extract_all(lower(b), '[{WORD}]+') AS bw FROM c),
-    d AS (SELECT *, list_distinct(list_concat(aw, bw)) AS u FROM w), e AS (SELECT *, array_to_string(list_transform(aw, lambda x: chr((33 + list_position(u, x))::INT)), '') AS ax, array_to_string(list_transform(bw, lambda x: chr((33 + list_position(u, x))::INT)), '') AS bx FROM d)
-    SELECT conv_id, turn, round(CASE WHEN a = '' AND b = '' THEN 1e0 WHEN a = '' OR b = '' THEN 0e0 ELSE greatest(0e0, 1e0 - (levenshtein(a, b) / greatest(length(a), length(b), 1) + levenshtein(ax, bx) / greatest(len(aw), len(bw), 1)) / 2) END, 6) AS similarity FROM e""",
-)
+@query("text_similarity")
 def text_similarity(t):
     """One minus the mean of character and word error rates against the turn before."""
     from pyspark.sql import Window as W
 
-    ascii80 = lambda c: F.regexp_replace(F.left(c, F.lit(80)), "[^ -~]", "")
-    rows = t.conversations.select("conv_id", "turn", ascii80(F.col("text")).alias("a"), ascii80(F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))).alias("b")).where("b is not null")
+    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn"))
+    rows = t.conversations.select("conv_id", "turn", F.col("text").alias("a"), before.alias("b")).where("b is not null")
     return rows.select("conv_id", "turn", F.round(X.text_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
