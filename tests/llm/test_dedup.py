@@ -113,3 +113,34 @@ def test_empty_table_and_clashing_columns(spark, operator):
     rows = [(i, text, 1, b"", "", "", 2) for i in (1, 2)]
     got = operator.repeats(spark.createDataFrame(rows, kind)).collect()
     assert {(x.doc_id, x.start_word, x.end_word, x.first) for x in got} == {(1, 0, 70, True), (2, 0, 70, False)}
+
+
+def words_of(p, x):
+    return tuple(p.word[x : x + 50].tolist())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_corpus_order_numbers_equal_windows_equally(seed):
+    import numpy as np
+    import pyarrow as pa
+
+    texts = corpus(seed)
+    docs = pa.table({"b": pa.array([0] * len(texts), pa.int32()), "doc_id": pa.array(list(texts), pa.int64()), "text": pa.array(list(texts.values()), pa.string())})
+    p = suffix_dedup.Parse(docs)
+    n = len(p.word) - 49
+    x = np.flatnonzero(p.doc[:n] == p.doc[49:])
+    lo = np.searchsorted(p.cut, x + suffix_dedup.TRIGGER)
+    some = np.searchsorted(p.cut, x + 50, side="right") > lo
+    x, owner = x[some], lo[some]
+    number = suffix_dedup.corpus_order(p, x, owner)
+    pairs = {(words_of(p, a), k) for a, k in zip(x, number.tolist())}
+    assert len(pairs) == len({w for w, _ in pairs}) == len({k for _, k in pairs}) > 500
+    # within one dictionary suffix the parse suffixes are in the order of their words
+    order, shared = suffix_dedup.parse_order(p, np.unique(owner))
+    j = np.unique(owner)[order]
+    rest = [tuple(p.word[p.cut[k] - 4 : p.right[k]].tolist()) for k in j]
+    whole = [r for r in rest if len(r) == 50]
+    assert whole == sorted(whole)
+    for a, b, k in zip(rest, rest[1:], shared[1:]):
+        same = next((i for i, (u, v) in enumerate(zip(a, b)) if u != v), min(len(a), len(b)))
+        assert k == same

@@ -30,14 +30,18 @@ def ask(home: int, n: int, h: np.ndarray, doc: np.ndarray | None = None, at: np.
     lead = np.flatnonzero(np.concatenate([[True], h[order[1:]] != h[order[:-1]]]))
     many = np.diff(np.append(lead, len(order))) > 1
     lead = order[lead]
-    h = h[lead]
+    yield from ask_distinct(home, n, h[lead], many, None if doc is None else doc[lead], None if at is None else at[lead])
+
+
+def ask_distinct(home: int, n: int, h: np.ndarray, many: np.ndarray, doc: np.ndarray | None, at: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """The same for hashes that are distinct already."""
     to = h % np.uint64(n)
     by = np.argsort(to, kind="stable")
     ids, start = np.unique(to[by], return_index=True)
     out: dict[str, list] = {f.name: [] for f in ASK_FIELDS}
     for b, part in zip(ids, np.split(by, start[1:])):
-        none = b"" if doc is None else None
-        row = (int(b), home, h[part].tobytes(), np.packbits(many[part]).tobytes(), none if doc is None else doc[lead[part]].astype("<i8").tobytes(), none if doc is None else at[lead[part]].astype("<i4").tobytes())
+        place = (b"", b"") if doc is None else (doc[part].astype("<i8").tobytes(), at[part].astype("<i4").tobytes())
+        row = (int(b), home, h[part].tobytes(), np.packbits(many[part]).tobytes(), *place)
         for c, v in zip(out, row):
             out[c].append(v)
     yield pa.RecordBatch.from_pydict(out, schema=ASK_FIELDS)
