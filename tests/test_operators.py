@@ -251,3 +251,26 @@ def test_report_text(spark):
     assert not any(x in out for x in ("SCHULTZE", "Anna", "anna", "1234567", "15.02.2024", "2024-02-15", "Weich", "Letter", "foot")) and "a12345" in out
     name = out.split("Patient: ")[1].split(",")[0]
     assert name.isupper()
+
+
+def test_missing_parts_are_errors(spark):
+    from veilframe.operators import records as O
+
+    left = spark.createDataFrame([(1,), (2,)], "key long")
+    right = spark.createDataFrame([(1, "a")], "key long, v string")
+    assert O.required_join(left.where("key = 1"), right, "key", "imprint").collect()[0].v == "a"
+    with pytest.raises(Exception, match="no imprint for 2"):
+        O.required_join(left, right, "key", "imprint").collect()
+    m = spark.createDataFrame([({"a": "1"},)], "m map<string,string>")
+    with pytest.raises(Exception, match="b is missing"):
+        m.select(*O.required(F.col("m"), ["a", "b"])).collect()
+
+
+def test_sensitive_spans_are_marked(spark):
+    from veilframe.functions import sensitive as N
+
+    text = "Müller, Hans geb. 01.02.1970 Fallnr: 4711 Hauptstraße 12, Dr. med. Eva Vogel Tel 0511 1234567"
+    row = spark.createDataFrame([(text,)], "t string").select(N.mark(F.col("t")).alias("m"), N.spans(F.col("t")).alias("s")).first()
+    for part in ("Müller", "Hans", "1970", "4711", "straße", "Vogel", "1234567"):
+        assert part not in row.m
+    assert {x.kind for x in row.s} == set(N.PATTERNS) - {"social_security"}

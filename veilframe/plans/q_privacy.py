@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import extract as E
 from ..functions import privacy as P
 from ..operators import audit as A
+from ..operators import records as RE
 from ..operators import redact as R
 from ..operators import splits as S
 from .tables import lit, query
@@ -47,10 +48,29 @@ def pseudonym_seeds(t):
     return R.seeded(t.customer, "c_name", P.patient_pseudonym(SECRET, F.col("c_name")), seeds)
 
 
-@query("pseudonym_collisions", "SELECT 'a'::VARCHAR AS id_old, 'b'::VARCHAR AS id_new, 'x'::VARCHAR AS problem WHERE false")
+@query("pseudonym_collisions", """WITH m AS (SELECT c_name AS id_old, CASE WHEN c_custkey % 77 = 0 THEN ' ' WHEN c_custkey % 50 = 0 THEN 'N' || (c_custkey + 1) ELSE 'N' || c_custkey END AS id_new FROM customer UNION ALL SELECT c_name, 'M' || c_custkey FROM customer WHERE c_custkey % 60 = 0),
+    r AS (SELECT DISTINCT * FROM m) SELECT id_old, id_new, 'blank' AS problem FROM m WHERE trim(id_old) = '' OR trim(id_new) = '' UNION ALL SELECT *, 'conflict' FROM r WHERE id_old IN (SELECT id_old FROM r GROUP BY id_old HAVING count(*) > 1)
+    UNION ALL SELECT *, 'collision' FROM r WHERE id_new IN (SELECT id_new FROM r GROUP BY id_new HAVING count(*) > 1)""")
 def pseudonym_collisions(t):
-    """Rows that break one-to-one; none."""
-    return R.collisions(R.mapping(t.customer, "c_name", P.patient_pseudonym(SECRET, F.col("c_name"))))
+    """Rows of a faulty mapping that break one-to-one."""
+    k = F.col("c_custkey")
+    new = lambda p, n: F.concat(F.lit(p), n.cast("string"))
+    id_new = F.when(k % 77 == 0, " ").when(k % 50 == 0, new("N", k + 1)).otherwise(new("N", k))
+    more = t.customer.where("c_custkey % 60 = 0").select(F.col("c_name").alias("id_old"), new("M", k).alias("id_new"))
+    return R.collisions(t.customer.select(F.col("c_name").alias("id_old"), id_new.alias("id_new")).unionByName(more))
+
+
+@query("pseudonym_one_to_one", "SELECT count(*) AS ids, count(*) AS pseudonyms, 0::BIGINT AS problems FROM customer")
+def pseudonym_one_to_one(t):
+    """The pseudonyms of all patients: as many as patients, without a problem."""
+    m = R.mapping(t.customer, "c_name", P.patient_pseudonym(SECRET, F.col("c_name")))
+    return m.agg(F.count("*").alias("ids"), F.count_distinct("id_new").alias("pseudonyms")).crossJoin(R.collisions(m).agg(F.count("*").alias("problems")))
+
+
+@query("synthetic_identities")
+def synthetic_identities(t):
+    """Made-up persons, the same for each secret."""
+    return RE.synthetic_identities(t.spark, 1000, SECRET, R.FIRST_NAMES, R.LAST_NAMES)
 
 
 @query("pseudonym_uids", f"SELECT '1.2.' || o_orderkey AS id_old, '2.25.' || ('0x' || left({_hmac('uid', chr(39) + '1.2.' + chr(39) + ' || o_orderkey')}, 32))::UHUGEINT::VARCHAR AS id_new FROM orders")
@@ -90,10 +110,10 @@ def group_hash_split(t):
     return S.split_counts(t.documents.join(t.labels, "doc_id"), "source", F.col("toxic") == 1, F.col("quality"))
 
 
-@query("split_leaks", "SELECT source FROM documents WHERE false")
+@query("split_leaks", "SELECT source FROM documents WHERE doc_id % 7 = 0 INTERSECT SELECT source FROM documents WHERE doc_id % 7 <> 0")
 def split_leaks(t):
-    """Sources on both sides; none."""
-    return S.shared_groups(t.documents.withColumn("split", P.group_split(F.col("source"))), "source", "split")
+    """Sources on both sides of a split that went by document."""
+    return S.shared_groups(t.documents.withColumn("split", F.when(F.col("doc_id") % 7 == 0, "val").otherwise("train")), "source", "split")
 
 
 @query(
@@ -131,11 +151,12 @@ def deidentify_elements(t):
     return R.deidentify(t.elements(), SECRET).select("instance", "keyword", "vr", "value")
 
 
-@query("residual_identifier_check", "SELECT instance, keyword FROM (SELECT 1::BIGINT AS instance, 'x' AS keyword) WHERE false")
+@query("residual_identifier_check", "SELECT instance, keyword FROM elements WHERE instance % 9 = 0 AND contains(value, patient)", ("elements",))
 def residual_identifier_check(t):
-    """Elements that still hold an original id; none (P5)."""
+    """Elements that still hold an original id, where a ninth of the instances was left as it was (P5)."""
     e = t.elements()
-    return R.residual(e, R.deidentify(e, SECRET)).select("instance", "keyword")
+    after = R.deidentify(e, SECRET).where("instance % 9 <> 0").unionByName(e.where("instance % 9 = 0"))
+    return R.residual(e, after).select("instance", "keyword")
 
 
 QI = ["c_mktsegment", "n_name", "o_orderpriority", "month"]
