@@ -1,6 +1,7 @@
 """Quality classifier: held-out accuracy on made-up documents, gradient, cases."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -66,3 +67,20 @@ def test_attention_weights_sum_to_one():
     model = Q.fit(bags, np.array([1 - q for *_, q, _ in rows], np.float32), steps=20)
     _, att, _ = Q.forward(model.p, model.features(bags), bags.doc, bags.n_docs)
     assert np.allclose(np.bincount(bags.doc, weights=att), 1, atol=1e-5)
+
+
+def test_training_keeps_the_sample_off_the_driver(spark):
+    rows = made(4, 1500)
+    docs = spark.createDataFrame([(i, t) for i, t, *_ in rows], "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, q, x if i % 3 else None) for i, _, q, x in rows], "doc_id long, quality int, toxic int")
+    words = sum(len(t.split()) for _, t, *_ in rows)
+    tracemalloc.start()
+    models = Q.train(docs, labels)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 * words  # the hash and the passage of each word alone take 16 bytes
+    known = [r for r in rows if r[0] % 3]
+    for model, some, y in ((models[0], rows, [1 - q for *_, q, _ in rows]), (models[1], known, [x for *_, x in known])):
+        whole = Q.fit(Q.encode(pa.array([t for _, t, *_ in some])), np.array(y, np.float32))
+        assert np.array_equal(model.vocabulary, whole.vocabulary) and len(model.vocabulary)
+        assert all(np.array_equal(model.p[k], whole.p[k]) for k in whole.p)

@@ -7,7 +7,9 @@ document's probability.  Only documents carry labels.  Two such models are
 trained: low quality and toxicity.
 
 Training reads at most ``max_train`` labelled documents (the ones with the least
-hash of their id); scoring reads every text whole.
+hash of their id), whole; scoring reads every text whole.  The sample's texts never reach the
+driver: tasks count the words of each label and encode the passages; the driver descends
+over batches of documents, whose shape features and vocabulary words lie in a file (``Spool``).
 
 Cases: a null or empty text has one passage without words and gets a score like
 any other; rows without an id are scored too (id null); repeated rows are scored
@@ -20,6 +22,7 @@ through ``keep_good`` untouched, whatever their names.
 
 from __future__ import annotations
 
+import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,11 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .exchange import drop, store
 
 PASSAGE = 48
 MAX_TRAIN = 8000
 HIDDEN, ATTENTION, VOCABULARY = 16, 12, 384
 N_SHAPE = 12
+LABELS = ("low", "toxic")
+COUNTS = [f"{n}_{c}" for c in LABELS for n in ("df", "pos")]
+HIT = np.dtype([("passage", "<i4"), ("word", "<u2")])
 SCHEMA = "doc_id long, p_low double, p_toxic double, n_passages int, top_passage int, keep boolean"
 
 _MARK = np.zeros(256, bool)
@@ -102,17 +109,6 @@ def encode(texts: pa.Array) -> Bags:
     return Bags(w.n_docs, doc, shape, word_passage, w.hash)
 
 
-def encode_all(texts: pa.ChunkedArray) -> Bags:
-    """``encode`` piece by piece, for a sample that is held on the driver."""
-    n, passages, got = 0, 0, []
-    for part in W.slices(pa.table({"text": texts}).to_batches()):
-        b = encode(part.column("text"))
-        got.append(Bags(b.n_docs, b.doc + n, b.shape, b.word_passage + passages, b.word))
-        n, passages = n + b.n_docs, passages + len(b.doc)
-    cat = lambda k: np.concatenate([getattr(b, k) for b in got])
-    return Bags(n, cat("doc"), cat("shape"), cat("word_passage"), cat("word"))
-
-
 @dataclass
 class Model:
     vocabulary: np.ndarray
@@ -164,25 +160,42 @@ def part_of(bags: Bags, docs: np.ndarray) -> Bags:
     return Bags(len(docs), number[bags.doc[rows]], bags.shape[rows], place[bags.word_passage[of_word]], bags.word[of_word])
 
 
+def word_counts(bags: Bags, known: np.ndarray, bad: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words; of each label (a row of ``known`` and ``bad``) the known documents and the bad ones that have the word."""
+    doc = bags.doc[bags.word_passage]
+    both = np.unique(W.mix(bags.word) ^ W.mix(doc.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
+    words, inv = np.unique(bags.word[both], return_inverse=True)
+    df, pos = (np.array([np.bincount(inv, weights=v[doc[both]], minlength=len(words)) for v in rows]) for rows in (known, bad))
+    return words, df, pos
+
+
+def telling(words: np.ndarray, df: np.ndarray, pos: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """The ``VOCABULARY`` words whose rate of bad documents is farthest from ``rate``, and how far; of equal ones those of least hash."""
+    z = np.abs(pos - df * rate) / np.sqrt(df * rate * (1 - rate) + 1e-9)
+    z[(df < 3) | (z < 3.5)] = 0
+    chosen = np.lexsort((words, -z))[:VOCABULARY]
+    chosen = chosen[z[chosen] > 0]
+    return words[chosen], z[chosen]
+
+
 def fit(bags: Bags, y: np.ndarray, steps: int = 400, batch: int = 256, seed: int = 0, l2: float = 1e-4) -> Model | None:
-    """Adam on the cross-entropy of batches of documents; None unless both labels occur."""
+    """A model of documents in memory; None unless both labels occur."""
     n = bags.n_docs
     if not 0 < y.sum() < n:
         return None
-    rng = np.random.default_rng(seed)
-    doc_of = bags.doc[bags.word_passage]
-    edges = np.searchsorted(doc_of, np.arange(0, n + batch, batch))
-    both = np.concatenate([a + np.unique(W.mix(bags.word[a:b]) ^ W.mix(doc_of[a:b].astype(np.uint64) + np.uint64(1)), return_index=True)[1] for a, b in zip(edges, edges[1:])])
-    vocab, inv, df = np.unique(bags.word[both], return_inverse=True, return_counts=True)
-    pos = np.bincount(inv, weights=y[doc_of[both]], minlength=len(vocab))
-    rate = y.mean()
-    z = np.abs(pos - df * rate) / np.sqrt(df * rate * (1 - rate) + 1e-9)
-    z[(df < 3) | (z < 3.5)] = 0
-    chosen = np.argsort(-z, kind="stable")[:VOCABULARY]
-    model = Model(np.sort(vocab[chosen[z[chosen] > 0]]), {})
-    k = N_SHAPE + len(model.vocabulary)
-    hit = np.flatnonzero(np.isin(bags.word, model.vocabulary))
+    words, df, pos = word_counts(bags, np.ones((1, n)), y[None])
+    vocabulary = np.sort(telling(words, df[0], pos[0], y.mean())[0])
+    hit = np.flatnonzero(np.isin(bags.word, vocabulary))
     hits = Bags(n, bags.doc, bags.shape, bags.word_passage[hit], bags.word[hit])
+    return descend(vocabulary, lambda some: part_of(hits, some), y, steps, batch, seed, l2)
+
+
+def descend(vocabulary: np.ndarray, take, y: np.ndarray, steps: int = 400, batch: int = 256, seed: int = 0, l2: float = 1e-4) -> Model:
+    """Adam on the cross-entropy of batches of documents; ``take`` gives the bags of some documents (ascending)."""
+    n, rate = len(y), y.mean()
+    rng = np.random.default_rng(seed)
+    model = Model(vocabulary, {})
+    k = N_SHAPE + len(vocabulary)
     p = {
         "W": rng.normal(0, 0.3 / np.sqrt(N_SHAPE), (k, HIDDEN)), "b": np.zeros(HIDDEN), "V": rng.normal(0, 0.3, (HIDDEN, ATTENTION)),
         "U": rng.normal(0, 0.3, (HIDDEN, ATTENTION)), "a": rng.normal(0, 0.3, ATTENTION), "c": rng.normal(0, 0.3, HIDDEN), "d": np.array(np.log(rate / (1 - rate))),
@@ -196,7 +209,7 @@ def fit(bags: Bags, y: np.ndarray, steps: int = 400, batch: int = 256, seed: int
             order, at = rng.permutation(n), 0
         some = np.sort(order[at : at + batch])
         at += batch
-        bag = part_of(hits, some)
+        bag = take(some)
         x, doc, target, size = model.features(bag), bag.doc, y[some], bag.n_docs
         prob, att, (h, t, g, m) = forward(p, x, doc, size)
         err = ((prob - target) / size).astype(np.float32)
@@ -219,17 +232,106 @@ def fit(bags: Bags, y: np.ndarray, steps: int = 400, batch: int = 256, seed: int
     return model
 
 
+class Spool:
+    """Encoded documents (``_encode``) in files of the driver, of which a batch at a time is read; ``ids`` are ascending."""
+
+    def __init__(self, ids: np.ndarray, encoded: DataFrame, vocabulary: np.ndarray):
+        self.vocabulary = vocabulary
+        self.passages, self.hits = (np.zeros((len(ids), 2), np.int64) for _ in range(2))
+        with tempfile.TemporaryFile() as shape, tempfile.TemporaryFile() as hits:
+            for row in encoded.toLocalIterator():
+                at = np.searchsorted(ids, row["doc_id"])
+                for file, size, place in ((shape, 4 * N_SHAPE, self.passages), (hits, HIT.itemsize, self.hits)):
+                    begin = file.tell() // size
+                    file.write(row["shape" if file is shape else "hits"])
+                    place[at] = begin, file.tell() // size
+            self.shape, self.hit = (self._mapped(f, t) for f, t in ((shape, np.dtype("<f4")), (hits, HIT)))
+        self.shape = self.shape.reshape(-1, N_SHAPE)
+
+    @staticmethod
+    def _mapped(file, kind: np.dtype) -> np.ndarray:
+        file.flush()
+        return np.asarray(np.memmap(file, kind, "r")) if file.tell() else np.zeros(0, kind)
+
+    def take(self, docs: np.ndarray) -> Bags:
+        """The bags of some documents, numbered as given, with their words in the vocabulary."""
+        shape, hit = (np.concatenate([data[a:b] for a, b in place[docs]]) for data, place in ((self.shape, self.passages), (self.hit, self.hits)))
+        n_pass, n_hit = (np.diff(place[docs])[:, 0] for place in (self.passages, self.hits))
+        base = np.cumsum(n_pass) - n_pass
+        return Bags(len(docs), np.repeat(np.arange(len(docs)), n_pass), shape, np.repeat(base, n_hit) + hit["passage"], self.vocabulary[hit["word"]])
+
+
+def _marks(table) -> np.ndarray:
+    """Of each label a row: 1 bad, 0 not, NaN not known."""
+    return np.array([table.column(c).to_numpy(zero_copy_only=False) for c in LABELS], np.float32)
+
+
+def _count(batches):
+    for part in W.slices(batches):
+        marks = _marks(part)
+        words, df, pos = word_counts(encode(part.column("text")), ~np.isnan(marks), np.nan_to_num(marks))
+        yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), *(pa.array(c.astype(np.int64)) for pair in zip(df, pos) for c in pair)], names=["word", *COUNTS])
+
+
+def _telling(rates):
+    def run(batches):
+        for batch in batches:
+            words, *counts = (batch.column(k).to_numpy() for k in range(1 + len(COUNTS)))
+            for k, rate in enumerate(rates):
+                if rate is not None:
+                    some, z = telling(words.view(np.uint64), counts[2 * k], counts[2 * k + 1], rate)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some.view(np.int64)), pa.array(z)], names=["label", "word", "z"])
+
+    return run
+
+
+def vocabularies(rows: DataFrame, rates: list) -> list[np.ndarray]:
+    """Of each label with a rate the telling words (ascending); the driver gets those of each batch of distinct words."""
+    total = rows.mapInArrow(_count, "word long, " + ", ".join(f"{c} long" for c in COUNTS)).groupBy("word").agg(*(F.sum(c).alias(c) for c in COUNTS))
+    best = total.mapInArrow(_telling(rates), "label int, word long, z double").toArrow()
+    label, words, z = (best.column(c).to_numpy() for c in ("label", "word", "z"))
+    out = []
+    for k in range(len(rates)):
+        own, far = words[label == k].view(np.uint64), z[label == k]
+        out.append(np.sort(own[np.lexsort((own, -far))[:VOCABULARY]]))
+    return out
+
+
+def _encode(vocabulary: np.ndarray):
+    def run(batches):
+        for part in W.slices(batches):
+            bags = encode(part.column("text"))
+            doc_at = np.searchsorted(bags.doc, np.arange(bags.n_docs + 1))
+            keep = np.flatnonzero(np.isin(bags.word, vocabulary))
+            owner = bags.doc[bags.word_passage[keep]]
+            hits = np.empty(len(keep), HIT)
+            hits["passage"], hits["word"] = bags.word_passage[keep] - doc_at[owner], np.searchsorted(vocabulary, bags.word[keep])
+            hit_at = np.searchsorted(owner, np.arange(bags.n_docs + 1))
+            cells = (pa.array([data[a:b].tobytes() for a, b in zip(at, at[1:])], pa.binary()) for data, at in ((bags.shape, doc_at), (hits, hit_at)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *cells], names=["doc_id", "shape", "hits"])
+
+    return run
+
+
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> tuple[Model | None, Model | None]:
     """(low-quality model, toxicity model) from at most ``max_train`` labelled documents."""
+    spark = docs.sparkSession
     one = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     some = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    table = rows.toArrow().sort_by("doc_id")
-    out = []
-    for name, bad in (("quality", lambda v: v < 1), ("toxic", lambda v: v > 0)):
-        known = table.filter(table[name].is_valid())
-        y = bad(known[name].to_numpy()).astype(np.float32) if known.num_rows else np.zeros(0, np.float32)
-        out.append(fit(encode_all(known["text"]), y) if known.num_rows else None)
+    rows, path = store(rows.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col("quality") < 1).cast("float").alias("low"), (F.col("toxic") > 0).cast("float").alias("toxic")))
+    known = rows.select("doc_id", *LABELS).toArrow().sort_by("doc_id")
+    marked = [(np.flatnonzero(~np.isnan(m)), m[~np.isnan(m)]) for m in _marks(known)]
+    rates = [y.mean() if 0 < y.sum() < len(y) else None for _, y in marked]
+    out: list[Model | None] = [None, None]
+    if any(rate is not None for rate in rates):
+        words = vocabularies(rows, rates)
+        both = np.union1d(*words)
+        encoded, spooled = store(rows.mapInArrow(_encode(both), "doc_id long, shape binary, hits binary"))
+        spool = Spool(known["doc_id"].to_numpy(), encoded, both)
+        drop(spark, spooled)
+        out = [None if rate is None else descend(vocabulary, lambda k, at=at: spool.take(at[k]), y) for (at, y), rate, vocabulary in zip(marked, rates, words)]
+    drop(spark, path)
     return out[0], out[1]
 
 
