@@ -139,3 +139,16 @@ def test_all_pairs_with_split_buckets_and_groups(spark):
     whole = {(x.doc_id, x.keeper) for x in N.near_duplicates(docs).collect()}
     tiles = {(x.doc_id, x.keeper) for x in N.near_duplicates(docs, tile=8, group=8).collect()}
     assert whole == tiles == want
+
+
+def test_different_texts_of_one_bitmap_keep_their_links(spark):
+    for seed in range(500):
+        w = text(random.Random(seed), 201).split()
+        texts = [" ".join(w), " ".join(w[:200]), " ".join(w[:101])]
+        _, sig = N.signatures(pa.array(texts))
+        bands = (sig[1:] == sig[0]).reshape(2, N.BANDS, N.ROWS).all(axis=2)
+        if bands[0].all() and bands[1].any():
+            break
+    assert jaccard(texts[0], texts[2]) < N.THRESHOLD <= jaccard(texts[1], texts[2])
+    docs = spark.createDataFrame([(1, texts[0]), (2, texts[1]), (3, texts[2]), (4, texts[0].upper())], "doc_id long, text string")
+    assert {(x.doc_id, x.keeper) for x in N.near_duplicates(docs).collect()} == {(2, 1), (3, 1), (4, 1)}

@@ -7,9 +7,9 @@ of ones in the XOR of their bitmaps estimates how many samples differ, hence the
 Jaccard similarity: 1 + BITS / (4 * SAMPLES) * ln(1 - 2 d / BITS), which is sharpest
 where similarity is high.
 
-Documents with the same shingle set have the same bitmap; only the least id of them goes
-on, so groups of thousands of exact copies cost one row each.  Inside a band's bucket
-every pair of distinct bitmaps is compared; no bucket is capped: one of more than ``TILE``
+Of documents with the same shingles, each as often (a hash of 128 bits tells), only the least
+id goes on, so groups of thousands of exact copies cost one row each; different texts all go
+on, also those of one bitmap.  Inside a band's bucket every pair is compared; no bucket is capped: one of more than ``TILE``
 bitmaps is cut into parts, and each pair of parts is a task's work of its own.  A pair is a
 candidate if its estimate is at most ``MARGIN`` below the threshold; pairs of one bucket that
 a chain of estimates ``SURE`` above the threshold joins already aren't listed again.  Each
@@ -37,7 +37,7 @@ from .exchange import cut, drop, free_name, partitions, store
 
 SHINGLE, SAMPLES, BANDS, ROWS, BITS, THRESHOLD = 3, 96, 24, 4, 512, 0.5
 MARGIN, SURE, MOST_SLOTS, TILE, GROUP = 0.2, 0.25, 1 << 26, 4096, 512
-SKETCH_SCHEMA = "doc_id long, sketch binary, bands array<long>"
+SKETCH_SCHEMA = "doc_id long, same binary, sketch binary, bands array<long>"
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 1 << 62, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _rng.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
@@ -63,8 +63,10 @@ def shingles(w: W.Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Documents that have shingles, and their MinHash values (documents x SAMPLES, uint32)."""
-    w = W.tokenize(texts)
-    doc, h = shingles(w)
+    return minhashes(*shingles(W.tokenize(texts)))
+
+
+def minhashes(doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(doc):
         return np.zeros(0, np.int64), np.zeros((0, SAMPLES), np.uint32)
     ids, first = np.unique(doc, return_index=True)
@@ -74,6 +76,12 @@ def signatures(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return ids, out
 
 
+def same_keys(doc: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Of each document that has shingles two sums over them: equal for the same shingles, each as often (documents x 2, uint64)."""
+    first = np.flatnonzero(np.diff(doc, prepend=-1))
+    return np.stack([np.add.reduceat(W.mix(h ^ salt), first) for salt in (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))], axis=1)
+
+
 def odd_sketches(sig: np.ndarray) -> np.ndarray:
     """Parity bitmaps (documents x BITS/64, uint64)."""
     k = np.arange(sig.shape[1], dtype=np.uint64) << np.uint64(32)
@@ -102,14 +110,15 @@ def ones(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _sketch(batches):
     for part in W.slices(batches):
-        ids, sig = signatures(part.column("text"))
-        if not len(ids):
+        at, h = shingles(W.tokenize(part.column("text")))
+        if not len(at):
             continue
+        ids, sig = minhashes(at, h)
         sk = odd_sketches(sig)
         bands = np.stack([W.window_hash(sig[:, b * ROWS : (b + 1) * ROWS].astype(np.uint64).ravel(), ROWS)[::ROWS] + np.uint64(b) for b in range(BANDS)], axis=1)
         doc = part.column("doc_id").take(pa.array(ids))
         lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS), pa.int32()), pa.array(bands.ravel().view(np.int64)))
-        yield pa.RecordBatch.from_arrays([doc, pa.array([r.tobytes() for r in sk], pa.binary()), lists], names=["doc_id", "sketch", "bands"])
+        yield pa.RecordBatch.from_arrays([doc, *(pa.array([r.tobytes() for r in c], pa.binary()) for c in (same_keys(at, h), sk)), lists], names=["doc_id", "same", "sketch", "bands"])
 
 
 def _links(sk: np.ndarray, ids: np.ndarray, sure: int, most: int, split: int = 0):
@@ -314,9 +323,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, tile: int = T
     spark = docs.sparkSession
     rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = cut(rows.mapInArrow(_sketch, SKETCH_SCHEMA))
-    # documents of one bitmap are a star around the least id, which alone goes on
-    heads = sketched.groupBy("sketch").agg(F.min("doc_id").alias("head"))
-    named = sketched.join(heads, "sketch")
+    # documents of the same shingles are a star around the least id, which alone goes on
+    heads = sketched.groupBy("same").agg(F.min("doc_id").alias("head"))
+    named = sketched.join(heads, "same")
     copies = named.where("doc_id > head").select(F.col("head").alias("src"), F.col("doc_id").alias("dst"))
     banded = cut(named.where("doc_id = head").select("head", "sketch", "bands")).select(F.explode("bands").alias("band"), "head", "sketch")
     placed = _buckets(banded, tile).repartition(partitions(spark), "band", "p", "q").sortWithinPartitions("band", "p", "q", "own", "head")
