@@ -130,3 +130,27 @@ def test_text_similarity_query_equals_brute_force(spark, tmp_path):
         want = 1 - (distance(a, b) / max(len(a), len(b)) + distance(aw, bw) / max(len(aw), len(bw))) / 2
         assert abs(got[k] - want) < 1e-5
     assert got[3] == 0 and got[4] == 0 and got[2] < 1
+
+
+def test_edit_distance_of_long_texts(spark):
+    import random
+    import time
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    rng = random.Random(3)
+    for _ in range(300):
+        a, b = ("".join(rng.choices("abcß", k=rng.randrange(40))) for _ in range(2))
+        assert Z.edit_distance(a, b) == plain(a, b)
+    # thousands of words: the distance of words was quadratic with a large factor, as each word read both texts again
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "x1", "Ü"], k=4000)) for _ in range(8)]
+    df = spark.createDataFrame(list(zip(texts[::2], texts[1::2])), "a string, b string").coalesce(1)
+    start = time.time()
+    got = df.select(X.text_similarity(F.col("a"), F.col("b"))).collect()
+    assert time.time() - start < 30 and all(0 < r[0] < 1 for r in got)

@@ -289,19 +289,23 @@ def field_match(a: Column, b: Column, digits: bool) -> Column:
 
 
 def word_edit_distance(a: Column, b: Column) -> Column:
-    """Edit distance between two arrays of words: each distinct word becomes one character."""
-    known = F.array_distinct(F.concat(a, b))
-    letter = lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(known, w) + 0x10000), 8, "0")), "UTF-32")
-    return F.levenshtein(F.array_join(F.transform(a, letter), ""), F.array_join(F.transform(b, letter), ""))
+    """Edit distance between two arrays of words."""
+    from .fuzzy import word_distance_udf
+
+    # the words as hex digits: a word may hold a space of its own
+    text = lambda words: F.array_join(F.transform(words, lambda w: F.concat(F.lit("w"), F.hex(w))), " ")
+    return word_distance_udf(text(a), text(b)).cast("int")
 
 
 def text_similarity(predicted: Column, expected: Column) -> Column:
-    """1 - mean of character and word error rates (X11)."""
+    """1 - mean of character and word error rates (X11); distances are measured in Arrow batches, bit-parallel."""
+    from .fuzzy import edit_distance_udf, word_distance_udf
+
     p, e = collapse(predicted), collapse(expected)
     word = F.lit(f"[{WORD}]+")
     pw, ew = (F.regexp_extract_all(F.lower(x), word, F.lit(0)) for x in (p, e))
-    cer = F.levenshtein(p, e) / F.greatest(F.length(p), F.length(e), F.lit(1))
-    wer = word_edit_distance(pw, ew) / F.greatest(F.size(pw), F.size(ew), F.lit(1))
+    cer = edit_distance_udf(p, e) / F.greatest(F.length(p), F.length(e), F.lit(1))
+    wer = word_distance_udf(F.array_join(pw, " "), F.array_join(ew, " ")) / F.greatest(F.size(pw), F.size(ew), F.lit(1))
     return F.when((p == "") & (e == ""), 1.0).when((p == "") | (e == ""), 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - (cer + wer) / 2.0))
 
 
