@@ -117,3 +117,15 @@ def test_stream_top_texts(spark):
     df = spark.createDataFrame([(1, i, f"t{i}", float(i % 4)) for i in range(8)], "v long, f long, t string, s double")
     out = state.replay(df, lambda s: state.top_texts(s, "v", "f", "t", "s", 3), "v").first()
     assert out.best == ["t3", "t7", "t2"]
+
+
+def test_elements_of_many_patients_are_few_files(spark, tmp_path):
+    rows = spark.range(6000).selectExpr("concat('p', id % 2000) AS patient", "id % 2 AS study", "id % 3 AS series", "id AS instance", "'k' AS keyword", "cast(id AS string) AS value")
+    path = tmp_path / "out"
+    sinks.write_elements(rows, str(path))
+    assert len(list(path.glob("**/*.parquet"))) <= sinks.BUCKETS
+    assert sorted(r.instance for r in sinks.read_elements(spark, str(path), "p7").collect()) == [7, 2007, 4007]
+    assert sinks.read_elements(spark, str(path), "nobody").count() == 0
+    assert len(spark.read.parquet(str(path)).where("patient = 'p7' and study = 1").collect()) == 3
+    with pytest.raises(Exception, match="(?i)exist"):
+        sinks.write_elements(rows, str(path))
