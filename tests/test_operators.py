@@ -274,3 +274,13 @@ def test_sensitive_spans_are_marked(spark):
     for part in ("Müller", "Hans", "1970", "4711", "straße", "Vogel", "1234567"):
         assert part not in row.m
     assert {x.kind for x in row.s} == set(N.PATTERNS) - {"social_security"}
+
+
+def test_ensemble_choice_keeps_short_texts(spark, tmp_path):
+    from veilframe.plans import catalog
+
+    spark.createDataFrame([(1, 0, "user", "Kurz.")], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [tuple(r) for r in catalog.QUERIES["ensemble_choice"](spark, str(tmp_path)).collect()] == [(1, 0, "tesseract", "Kurz.")]
+    rows = spark.createDataFrame([(1, "trocr", 0.9, "ab"), (1, "donut", 0.1, "abc\nd"), (2, "tesseract", 90.0, None), (2, "donut", 0.9, "x")], "k int, engine string, score double, text string")
+    assert sorted(tuple(r) for r in frames.best_engine(rows, "k", "engine", "text", "score", short=0).collect()) == [(1, "trocr", "ab"), (2, "tesseract", None)]
+    assert frames.best_engine(rows.where("k = 1"), "k", "engine", "text", "score").first().text == "abc\nd"

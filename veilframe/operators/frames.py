@@ -259,10 +259,16 @@ def candidate_rank(text: Column, conf: Column) -> Column:
     return F.struct(F.when(text == "", 1).otherwise(0).alias("empty"), gib.alias("gibberish"), F.round(X.gibberish_score(text), 9).alias("score"), (-conf).alias("conf"), (-F.length(text)).alias("len"))
 
 
-def best_engine(readings: DataFrame, key: str, engine: str, text: str, score: str, percent: Sequence[str] = ("tesseract",), order: Sequence[str] = ("tesseract", "trocr", "donut")) -> DataFrame:
-    """(key, engine, text): the engine of the best normalised score, the first on ties; a text under 20 characters gives way to the longest lines of all engines."""
+def best_engine(readings: DataFrame, key: str, engine: str, text: str, score: str, percent: Sequence[str] = ("tesseract",), order: Sequence[str] = ("tesseract", "trocr", "donut"), short: int = 20) -> DataFrame:
+    """(key, engine, text): the engine of the best normalised score, the first on ties; a text under ``short`` characters gives way to the longest lines of all engines.
+
+    With ``short`` 0 the text is always the chosen engine's own.
+    """
     s = F.least(F.lit(1.0), F.when(F.col(engine).isin(*percent), F.col(score) / 100.0).otherwise(F.col(score)))
     place = F.array_position(F.array(*[F.lit(e) for e in order]), F.col(engine))
+    if short <= 0:
+        best = readings.groupBy(key).agg(F.min_by(F.struct(F.col(engine).alias("engine"), F.col(text).alias("text")), F.struct((-s).alias("s"), place.alias("place"))).alias("r"))
+        return best.select(key, "r.engine", "r.text")
     rows = readings.select(key, F.struct((-s).alias("s"), place.alias("place"), F.col(engine).alias("engine"), F.col(text).alias("text"), F.split(text, "\n").alias("lines")).alias("r"))
     best = rows.groupBy(key).agg(F.array_sort(F.collect_list("r")).alias("r"))
     some = F.filter("r", lambda x: F.trim(x["text"]) != "")
@@ -275,7 +281,7 @@ def best_engine(readings: DataFrame, key: str, engine: str, text: str, score: st
 
     joined = F.coalesce(F.array_join(F.transform(lines, pick), "\n"), F.lit(""))
     top = F.get(F.col("r"), F.lit(0))
-    chosen = F.when((F.length(F.trim(top["text"])) < 20) & (F.length(F.trim(joined)) > F.length(F.trim(top["text"]))), joined).otherwise(top["text"])
+    chosen = F.when((F.length(F.trim(top["text"])) < short) & (F.length(F.trim(joined)) > F.length(F.trim(top["text"]))), joined).otherwise(top["text"])
     return best.select(key, top["engine"].alias("engine"), chosen.alias("text"))
 
 
