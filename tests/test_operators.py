@@ -284,3 +284,14 @@ def test_ensemble_choice_keeps_short_texts(spark, tmp_path):
     rows = spark.createDataFrame([(1, "trocr", 0.9, "ab"), (1, "donut", 0.1, "abc\nd"), (2, "tesseract", 90.0, None), (2, "donut", 0.9, "x")], "k int, engine string, score double, text string")
     assert sorted(tuple(r) for r in frames.best_engine(rows, "k", "engine", "text", "score", short=0).collect()) == [(1, "trocr", "ab"), (2, "tesseract", None)]
     assert frames.best_engine(rows.where("k = 1"), "k", "engine", "text", "score").first().text == "abc\nd"
+
+
+def test_boxes_in_batches_are_quick(spark):
+    import time
+
+    rows = spark.range(0, 240000, numPartitions=4).selectExpr("id div 8 AS g", "cast(id % 8 AS int) AS idx", "cast(id * 7 % 60 AS int) AS x1", "cast(id * 13 % 40 AS int) AS y1")
+    rows = rows.withColumns({"x2": F.col("x1") + 25, "y2": F.col("y1") + 25}).cache()
+    rows.count()
+    start = time.time()
+    assert spatial.over_redaction(rows, rows, "g", 100, 80).where("false_positive_fraction = 0").count() == 30000
+    assert time.time() - start < 40

@@ -1,7 +1,8 @@
 """Box sets joined, matched and measured, one group (image, frame, instance) at a time.
 
 Boxes of a group are collected into an array: a group is one image, whose boxes are few.
-Joins are equi-joins on the group, so nothing compares boxes of different images.
+Joins are equi-joins on the group, so nothing compares boxes of different images.  What costs
+more than a pass over the boxes is done in numpy for a whole Arrow batch of groups.
 """
 
 from __future__ import annotations
@@ -9,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions import arrays as A
 from ..functions import geometry as G
 from ..functions.text import let
 from .evaluation import f1, ratio
@@ -22,6 +25,20 @@ def box_list(boxes: DataFrame, group: str, name: str, extra: tuple[str, ...] = (
     return boxes.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("idx", *_BOX, *extra))).alias(name))
 
 
+def in_batches(rows: DataFrame, keep: list[str], run, more: str) -> DataFrame:
+    """Columns ``keep`` of the rows, and those of the schema ``more`` that ``run`` (Arrow batch to a list of arrays) gives."""
+    kinds = T.StructType([rows.schema[k] for k in keep] + T._parse_datatype_string(more).fields)
+
+    def each(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            got = [b.column(k) for k in keep] + [pa.array(x) for x in run(b)]
+            yield pa.RecordBatch.from_arrays(got, names=kinds.names)
+
+    return rows.mapInArrow(each, kinds)
+
+
 def side_by_side(gold: DataFrame, pred: DataFrame, group: str, extra: tuple[str, ...] = ()) -> DataFrame:
     """(group, gt, pr) for each group of either side; a side without boxes has an empty array."""
     g, p = box_list(gold, group, "gt", extra), box_list(pred, group, "pr", extra)
@@ -93,7 +110,8 @@ def detector_metrics(gold: DataFrame, pred: DataFrame, group: str, by: DataFrame
 
 def union_area(boxes: DataFrame, group: str) -> DataFrame:
     """(group, area) of the union of each group's boxes (SP6)."""
-    return boxes.groupBy(group).agg(F.collect_list(F.struct(*_BOX)).alias("b")).select(group, G.union_area(F.col("b")).alias("area"))
+    rows = boxes.groupBy(group).agg(F.collect_list(F.struct(*_BOX)).alias("b"))
+    return in_batches(rows, [group], lambda batch: [A.union_area(A.flat(batch.column("b"), _BOX))], "area long")
 
 
 def union_area_rows(boxes: DataFrame, group: str) -> DataFrame:
@@ -118,14 +136,26 @@ def clip_all(boxes: Column, width: Column, height: Column) -> Column:
 
 
 def over_redaction(gold: DataFrame, pred: DataFrame, group: str, width: int, height: int) -> DataFrame:
-    """(group, false_positive_fraction, removed_fraction, over_redaction_score) (SP7)."""
-    rows = side_by_side(gold, pred, group)
-    u, c = G.union_area, F.col
-    rows = rows.withColumns({"cg": clip_all(c("gt"), F.lit(width), F.lit(height)), "cp": clip_all(c("pr"), F.lit(width), F.lit(height))})
-    rows = rows.select(group, u(c("pr")).alias("pred"), u(intersections(c("gt"), c("pr"))).alias("both"), u(c("cg")).alias("c_gold"), u(c("cp")).alias("c_pred"), u(intersections(c("cg"), c("cp"))).alias("c_both"))
-    rows = rows.withColumns({"false": ratio(F.greatest(F.lit(0), c("pred") - c("both")), c("pred")), "other": F.greatest(F.lit(0), F.lit(width * height) - c("c_gold"))})
-    gone = F.least(F.lit(1.0), ratio(F.greatest(F.lit(0), c("c_pred") - c("c_both")), c("other")))
-    return rows.select(group, c("false").alias("false_positive_fraction"), gone.alias("removed_fraction"), (((1.0 - c("false")) + (1.0 - gone)) / 2.0).alias("over_redaction_score"))
+    """(group, false_positive_fraction, removed_fraction, over_redaction_score) (SP7).
+
+    What two sets cover both is the sum of their areas less that of their union, so no pairs are formed.
+    """
+
+    def run(batch):
+        import numpy as np
+
+        g, p = (A.flat(batch.column(k), _BOX) for k in ("gt", "pr"))
+        cg, cp = A.clip(g, width, height), A.clip(p, width, height)
+        sets = (g, p, A.join_sets(g, p), cg, cp, A.join_sets(cg, cp))
+        # all six in one call: a set of a group is a group of its own
+        areas = A.union_area((np.concatenate([n for n, _ in sets]), [np.concatenate(x) for x in zip(*[f for _, f in sets])]))
+        gold_, pred_, either, c_gold, c_pred, c_either = np.split(areas, 6)
+        share = lambda x, y: np.where(y > 0, np.maximum(0, x) / np.maximum(1, y), 0.0)
+        false = share(pred_ - (gold_ + pred_ - either), pred_)
+        gone = np.minimum(1.0, share(c_pred - (c_gold + c_pred - c_either), np.maximum(0, width * height - c_gold)))
+        return [false, gone, ((1.0 - false) + (1.0 - gone)) / 2.0]
+
+    return in_batches(side_by_side(gold, pred, group), [group], run, "false_positive_fraction double, removed_fraction double, over_redaction_score double")
 
 
 def nms(boxes: Column, limit: float, mode: str = "candidate") -> Column:
