@@ -286,6 +286,37 @@ def test_ensemble_choice_keeps_short_texts(spark, tmp_path):
     assert frames.best_engine(rows.where("k = 1"), "k", "engine", "text", "score").first().text == "abc\nd"
 
 
+def test_boxes_in_batches_equal_pixels_and_folds(spark):
+    from veilframe.functions import arrays as A
+
+    rng = random.Random(5)
+    box = lambda g, i: (g, i, x := rng.randrange(12), y := rng.randrange(12), x + rng.randrange(-1, 9), y + rng.randrange(-1, 9))
+    gt, pr = ([box(g, i) for g in range(60) for i in range(rng.choice((0, 1, 2, 5, 9)))] for _ in range(2))
+    g, p = (spark.createDataFrame(x, "g int, idx int, x1 int, y1 int, x2 int, y2 int") for x in (gt, pr))
+    pixels = lambda rows, k, w=99: {(x, y) for r in rows if r[0] == k for x in range(r[2], min(w, r[4])) for y in range(r[3], min(w, r[5]))}
+    assert {r.g: r.area for r in spatial.union_area(p, "g").collect()} == {k: len(pixels(pr, k)) for k in {r[0] for r in pr}}
+    for r in spatial.over_redaction(g, p, "g", 10, 10).collect():
+        a, b, ca, cb = pixels(gt, r.g), pixels(pr, r.g), pixels(gt, r.g, 10), pixels(pr, r.g, 10)
+        false, gone = (len(b - a) / len(b) if b else 0.0), (min(1.0, len(cb - ca) / (100 - len(ca))) if len(ca) < 100 else 0.0)
+        assert (r.false_positive_fraction, r.removed_fraction) == (pytest.approx(false), pytest.approx(gone))
+    rows = spatial.side_by_side(g, p, "g").where(F.size("gt") > 0)
+    want = rows.select(
+        F.sum(F.size(spatial.greedy_matches(F.col("gt"), F.col("pr"), 0.3))).alias("tp"), F.sum(F.when(F.size("pr") > 0, spatial.box_coverage(F.col("gt"), F.col("pr")) * F.size("gt"))).alias("iou"), F.sum(F.size("gt")).alias("n")
+    ).first()
+    by = spark.createDataFrame([], "g int, kind string")
+    got = spatial.detector_metrics(g, p, "g", by, "kind", 0.3).where("kind is null").first()
+    assert (got.true_positives, got.annotations, got.mean_best_iou) == (want.tp, want.n, pytest.approx(want.iou / want.n))
+    share = sum(len(pixels([(r[0], 0, *r[2:])], r[0]) & pixels(pr, r[0])) / max(1, len(pixels([(r[0], 0, *r[2:])], r[0]))) for r in gt)
+    assert got.mean_coverage == pytest.approx(share / len(gt))
+    # slices of a few cells give the same
+    cells, A.CELLS = A.CELLS, 7
+    try:
+        n = A.np.array([sum(r[0] == k for r in pr) for k in range(60)])
+        assert list(A.union_area((n, [A.np.array([r[i] for r in pr]) for i in range(2, 6)]))) == [len(pixels(pr, k)) for k in range(60)]
+    finally:
+        A.CELLS = cells
+
+
 def test_boxes_in_batches_are_quick(spark):
     import time
 

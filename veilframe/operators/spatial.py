@@ -96,11 +96,13 @@ def detector_metrics(gold: DataFrame, pred: DataFrame, group: str, by: DataFrame
 
     ``by`` maps a group to its kind.  Groups without gold boxes aren't evaluated.
     """
-    rows = side_by_side(gold, pred, group).where(F.size("gt") > 0).join(by, group, "left")
-    each = rows.select(
-        F.coalesce(F.col(kind), F.lit("UNKNOWN")).alias(kind), F.size("gt").alias("a"), F.size("pr").alias("p"), F.size(greedy_matches(F.col("gt"), F.col("pr"), least)).alias("tp"),
-        F.when(F.size("pr") == 0, 0.0).otherwise(box_coverage(F.col("gt"), F.col("pr")) * F.size("gt")).alias("iou"), union_coverage(F.col("gt"), F.col("pr")).alias("cov"),
-    )
+    rows = side_by_side(gold, pred, group).where(F.size("gt") > 0).join(by, group, "left").select(F.coalesce(F.col(kind), F.lit("UNKNOWN")).alias(kind), F.size("gt").alias("a"), F.size("pr").alias("p"), "gt", "pr")
+
+    def run(batch):
+        both = [A.flat(batch.column(k), ("idx", *_BOX)) for k in ("gt", "pr")]
+        return A.evaluated(*both, least).values()
+
+    each = in_batches(rows, [kind, "a", "p"], run, "tp long, iou double, cov double")
     n = lambda c: F.coalesce(F.sum(c), F.lit(0))
     out = each.rollup(kind).agg(n("a").alias("annotations"), n("p").alias("predictions"), n("tp").alias("true_positives"), n("iou").alias("iou"), n("cov").alias("cov"))
     c = F.col
