@@ -326,3 +326,22 @@ def test_boxes_in_batches_are_quick(spark):
     start = time.time()
     assert spatial.over_redaction(rows, rows, "g", 100, 80).where("false_positive_fraction = 0").count() == 30000
     assert time.time() - start < 40
+
+
+def test_a_file_of_one_row_group_is_spread(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from veilframe.plans import tables
+
+    n = 200_000
+    pq.write_table(pa.table({"c_custkey": range(n), "s": [hashlib.sha256(b"%d" % i).hexdigest() for i in range(n)]}), f"{tmp_path}/customer.parquet", row_group_size=n)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        df = spark.read.parquet(f"{tmp_path}/customer.parquet")
+        assert df.rdd.getNumPartitions() >= 4 and tables.row_groups(df) == [n]  # many splits, one of which has all rows
+        sizes = tables.Tables(spark, str(tmp_path)).customer.groupBy(F.spark_partition_id()).count().collect()
+        assert len(sizes) >= 4 and max(r["count"] for r in sizes) < n / 3
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)

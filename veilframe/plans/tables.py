@@ -14,10 +14,36 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Rows of a task where a table is spread.
+TASK_ROWS = 100_000
+
+
+def row_groups(df: DataFrame) -> list[int]:
+    """Rows of each row group of a table's files, from their footers."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for file in df.inputFiles():
+        path = jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file)), conf)
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(path)
+        try:
+            out += [g.getRowCount() for g in reader.getFooter().getBlocks()]
+        finally:
+            reader.close()
+    return out
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A table that has fewer splits than the session has cores over all of them: a file of one row group is read by one task."""
+    """A table that fewer tasks would read than the session has cores, over tasks of about ``TASK_ROWS`` rows.
+
+    One task reads a row group, whatever the number of splits of its file, so the row groups of a table of few files are counted.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if len(df.inputFiles()) >= cores:
+        return df
+    groups = row_groups(df)
+    if min(len(groups), df.rdd.getNumPartitions()) >= cores:
+        return df
+    return df.repartition(max(cores, -(-sum(groups) // TASK_ROWS)))
 
 
 class Tables:
@@ -30,7 +56,7 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return spread(df) if name in ("documents", "conversations", "orders") else df
+        return spread(df) if name in ("documents", "conversations", "orders", "customer") else df
 
     def frames(self) -> DataFrame:
         return self.conversations.select(
