@@ -98,12 +98,15 @@ def examiner(c: Column) -> tuple[Column, Column]:
 
 def german_date(c: Column, pivot: int = 50) -> Column:
     """Day, month, year with any of the separators; two-digit years from ``pivot`` on are of the last century."""
-    t = F.regexp_replace(strip(c), rf"[{SP}]*[.\-/][{SP}]*|[{SP}]+", ".")
-    part = F.split(t, r"\.")
-    y = F.try_element_at(part, F.lit(3)).cast("int")
-    y = F.when(F.length(F.try_element_at(part, F.lit(3))) <= 2, y + F.when(y < pivot, 2000).otherwise(1900)).otherwise(y)
-    iso = F.format_string("%04d-%02d-%02d", y, F.try_element_at(part, F.lit(2)).cast("int"), F.try_element_at(part, F.lit(1)).cast("int"))
-    return F.when(t.rlike(rf"\A{_DOTTED}\z") & y.between(1900, 2100), F.try_to_date(iso, "yyyy-MM-dd"))
+
+    def iso(part: Column) -> Column:
+        y = part[2].cast("int")
+        y = F.when(F.length(part[2]) <= 2, y + F.when(y < pivot, 2000).otherwise(1900)).otherwise(y)
+        return let(y, lambda v: F.when(v.between(1900, 2100), F.try_to_date(F.format_string("%04d-%02d-%02d", v, part[1].cast("int"), part[0].cast("int")), "yyyy-MM-dd")))
+
+    # each step is bound, as otherwise every mention of the text repeats all before it
+    text = F.regexp_replace(strip(c), rf"[{SP}]*[.\-/][{SP}]*|[{SP}]+", ".")
+    return let(text, lambda t: F.when(t.rlike(rf"\A{_DOTTED}\z"), let(F.split(t, r"\."), iso)))
 
 
 def compact_date(c: Column) -> Column:
@@ -115,10 +118,12 @@ def compact_date(c: Column) -> Column:
 
 def report_date(c: Column) -> Column:
     """The report reader's dates: eight digits, or day, month and year with dots or spaces; pivot 69."""
-    t = strip(c)
-    eight = F.when(t.rlike(r"\A[0-9]{8}\z"), F.try_to_date(t, "ddMMyyyy"))
-    dotted = F.regexp_replace(t, f"[{SP}]+", ".")
-    return F.coalesce(eight, F.when(dotted.rlike(r"\A[0-9]{1,2}\.[0-9]{1,2}\.(?:[0-9]{4}|[0-9]{2})\z"), german_date(dotted, 69)))
+
+    def either(t: Column) -> Column:
+        dotted = F.regexp_replace(t, f"[{SP}]+", ".")
+        return F.when(t.rlike(r"\A[0-9]{8}\z"), F.try_to_date(t, "ddMMyyyy")).otherwise(let(dotted, lambda d: F.when(d.rlike(r"\A[0-9]{1,2}\.[0-9]{1,2}\.(?:[0-9]{4}|[0-9]{2})\z"), german_date(d, 69))))
+
+    return let(strip(c), either)
 
 
 def any_date(c: Column) -> Column:
@@ -248,16 +253,18 @@ def _untitled(c: Column) -> Column:
 
 def examination_line(c: Column) -> Column:
     """struct of examiner, date and time of one report line in either format."""
-    entry = first_group(c, _ENTRY)
-    # only lines with a marker meet the long pattern
-    c = F.when(F.contains(c, F.lit("Unters.:")), c)
-    one = first_group(c, _UNTERS, 1)
-    return F.struct(
-        F.when(one.isNotNull(), _untitled(first_group(c, _UNTERS, 2))).alias("examiner_first_name"),
-        F.when(one.isNotNull(), _untitled(one)).alias("examiner_last_name"),
-        F.coalesce(german_date(first_group(c, _UNTERS, 3)), german_date(entry)).alias("examination_date"),
-        first_group(c, _UNTERS, 4).alias("examination_time"),
-    )
+    none = F.lit(None)
+
+    def full(g: Column) -> Column:
+        return F.struct(_untitled(g["b"]).alias("examiner_first_name"), _untitled(g["a"]).alias("examiner_last_name"), F.coalesce(german_date(g["day"]), entry()).alias("examination_date"), F.nullif(g["at"], F.lit("")).alias("examination_time"))
+
+    def entry() -> Column:
+        return F.when(F.contains(c, F.lit("Eingang am:")), german_date(first_group(c, _ENTRY)))
+
+    # only lines with a marker meet the long patterns, and each group is read once
+    parts = F.struct(*[F.regexp_extract(c, _UNTERS, k).alias(n) for k, n in enumerate(("a", "b", "day", "at"), 1)])
+    other = F.struct(none.cast("string").alias("examiner_first_name"), none.cast("string").alias("examiner_last_name"), entry().alias("examination_date"), none.cast("string").alias("examination_time"))
+    return F.when(F.contains(c, F.lit("Unters.:")), let(parts, lambda g: F.when(g["a"] != "", full(g)).otherwise(other))).otherwise(other)
 
 
 def examiner_line(c: Column) -> Column:
@@ -267,7 +274,10 @@ def examiner_line(c: Column) -> Column:
 
 def endoscope_line(c: Column) -> Column:
     """struct(type, sn) of a device line."""
-    return F.struct(strip(first_group(c, _SCOPE, 1)).alias("endoscope_type"), first_group(c, _SCOPE, 2).alias("endoscope_sn"))
+    find = F.struct(strip(first_group(c, _SCOPE, 1)).alias("endoscope_type"), first_group(c, _SCOPE, 2).alias("endoscope_sn"))
+    none = F.lit(None).cast("string")
+    # a cheap test keeps other lines from the pattern
+    return F.when(c.rlike("(?i)seriennummer"), find).otherwise(F.struct(none.alias("endoscope_type"), none.alias("endoscope_sn")))
 
 
 def key_values(c: Column) -> Column:
@@ -275,7 +285,7 @@ def key_values(c: Column) -> Column:
     fields = {"first_name": "first[_ ]?name|vorname", "last_name": "last[_ ]?name|nachname", "dob": "dob|geburtsdatum", "casenumber": "case[_ ]?number|fallnummer", "gender": "gender|geschlecht"}
     value = lambda p: strip(first_group(c, rf"(?im)^[ \t]*-?[ \t]*(?:{p})[ \t]*[:=][ \t]*[\x22']?([{WORD}.\-/ ]+?)[\x22']?$"))
     kept = {k: value(p) for k, p in fields.items()}
-    kept["dob"] = F.coalesce(F.date_format(report_date(kept["dob"]), "yyyy-MM-dd"), kept["dob"])
+    kept["dob"] = let(kept["dob"], lambda d: F.coalesce(F.date_format(report_date(d), "yyyy-MM-dd"), d))
     m = F.map_from_arrays(F.array(*[F.lit(k) for k in kept]), F.array(*kept.values()))
     return F.map_filter(m, lambda k, v: v.isNotNull() & ~(k.isin("first_name", "last_name") & F.lower(v).isin("unknown", "unbekannt")))
 
