@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,29 +37,24 @@ def patient_pseudonym(secret: bytes, original: Column) -> Column:
 def hex_to_decimal(digits: Column) -> Column:
     """Decimal notation of a 128-bit hex number.
 
-    Folds four 32-bit limbs into base 10^9 digits (least first); no step leaves 64 bits.
+    128 bits are more than 38 digits, so that the last decimal digit is kept apart from the others.
     """
-    limbs = F.array(*[F.conv(F.substring(digits, 8 * k + 1, 8), 16, 10).cast("bigint") for k in range(4)])
-    zero = F.array(*[F.lit(0).cast("bigint")] * 5)
-    base = F.lit(10**9).cast("bigint")
+    word = F.lit(Decimal(1 << 64))
+    half = lambda k: F.lpad(F.conv(F.substring(digits, k, 16), 16, 10), 20, "0")
 
-    def push(acc: Column, limb: Column) -> Column:
-        def step(s: Column, d: Column) -> Column:
-            v = d * F.lit(1 << 32) + s["carry"]
-            return F.struct(F.call_function("div", v, base).alias("carry"), F.array_append(s["out"], v % base).alias("out"))
+    def text(h: Column) -> Column:
+        rest = F.substring(h["hi"], 20, 1).cast("decimal(1,0)") * word + h["lo"].cast("decimal(20,0)")
+        return let(F.lpad(rest.cast("string"), 21, "0"), lambda r: F.concat((F.left(h["hi"], F.lit(19)).cast("decimal(19,0)") * word + F.left(r, F.lit(20)).cast("decimal(20,0)")).cast("string"), F.right(r, F.lit(1))))
 
-        start = F.struct(limb.alias("carry"), F.array().cast("array<bigint>").alias("out"))
-        return F.aggregate(acc, start, step)["out"]
-
-    wide = F.aggregate(limbs, zero, push)
-    text = F.array_join(F.transform(F.reverse(wide), lambda d: F.lpad(d.cast("string"), 9, "0")), "")
-    return F.coalesce(F.nullif(F.ltrim(text, F.lit("0")), F.lit("")), F.lit("0"))
+    value = let(F.struct(half(1).alias("hi"), half(17).alias("lo")), text)
+    return F.regexp_replace(value, r"\A0+(?=[0-9])", "")
 
 
 def uid_pseudonym(secret: bytes, original: Column) -> Column:
     """2.25. and the first 128 bits of the digest in decimal (P3); null and blank ids have none."""
     t = F.trim(original)
-    return F.when(t != "", F.concat(F.lit("2.25."), hex_to_decimal(F.left(keyed(secret, "uid", t), F.lit(32)))))
+    number = let(F.left(keyed(secret, "uid", t), F.lit(32)), hex_to_decimal)  # bound: the digest is computed once
+    return F.when(t != "", F.concat(F.lit("2.25."), number))
 
 
 def shift_days(secret: bytes, patient: Column) -> Column:
