@@ -345,3 +345,15 @@ def test_a_file_of_one_row_group_is_spread(spark, tmp_path):
         assert len(sizes) >= 4 and max(r["count"] for r in sizes) < n / 3
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_one_digest_for_a_uid(spark):
+    plan = spark.createDataFrame([("1.2",)], "v string").select(P.uid_pseudonym(SECRET, F.col("v")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") <= 2
+
+
+def test_pipeline_summary_moves_no_rows(spark):
+    rows = spark.createDataFrame([("a", "skipped", 0.5, None), ("a", "skipped", 0.7, 1.0), ("b", "ok", 0.2, None), ("b", "skipped", 0.9, 0.4), ("c", "failed", None, None)], "p string, status string, m double, o double")
+    out = evaluation.pipeline_summary(rows, ["p"], ["m"], ["o"])
+    assert sorted(tuple(r) for r in out.collect()) == [("a", 0, 0, 0, 2, 0.6, 1.0), ("b", 1, 1, 0, 1, 0.2, None), ("c", 1, 0, 1, 0, 0.0, None)]
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
