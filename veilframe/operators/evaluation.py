@@ -134,12 +134,13 @@ def similarity_stats(pairs: DataFrame, group: str, value: str, perfect: float =
 def pipeline_summary(results: DataFrame, by: Sequence[str], metrics: Sequence[str], optional: Sequence[str] = ()) -> DataFrame:
     """Counts by status and rounded means; skipped runs count only where all were skipped."""
     skipped = F.col("status") == "skipped"
-    rows = results.withColumn("__any", F.max(F.when(skipped, 0).otherwise(1)).over(W.partitionBy(*by)))
-    scored = ~skipped | (F.col("__any") == 0)
-    mean = lambda m: F.round(F.coalesce(F.avg(F.when(scored, F.col(m))), F.lit(None if m in optional else 0.0)), 6).alias(f"mean_{m}")
-    return rows.groupBy(*by).agg(
+    some = F.max(F.when(skipped, 0).otherwise(1)) == 1
+    mean = lambda m: F.when(some, F.avg(F.when(~skipped, F.col(m)))).otherwise(F.avg(m))
+    rounded = lambda m: F.round(F.coalesce(mean(m), F.lit(None if m in optional else 0.0)), 6).alias(f"mean_{m}")
+    # both means in one pass: no group's rows are brought together
+    return results.groupBy(*by).agg(
         F.count_if(~skipped).alias("attempted"), F.count_if(F.col("status") == "ok").alias("succeeded"), F.count_if(F.col("status") == "failed").alias("failed"), F.count_if(skipped).alias("skipped"),
-        *[mean(m) for m in (*metrics, *optional)],
+        *[rounded(m) for m in (*metrics, *optional)],
     )
 
 
