@@ -154,3 +154,30 @@ def test_edit_distance_of_long_texts(spark):
     start = time.time()
     got = df.select(X.text_similarity(F.col("a"), F.col("b"))).collect()
     assert time.time() - start < 30 and all(0 < r[0] < 1 for r in got)
+
+
+def test_counts_by_pattern_equal_plain_counts(spark):
+    import re
+
+    values = ["", "a", "Der Aal, ein Tier! xyz zzz AAA aa", "äÖ§•—‚x 12:30  12345678", "b c dd ÄÄÄ\tfgh—ij", "zz\n\nq1w2 e r t", "日本 語 ñandú", "Patient: Müller… (ok)"]
+    words = [re.findall(f"[^{X.SP}]+".replace(r"\p{Z}", " 　"), v) for v in values]
+    latin = [re.findall(f"[{X.LATIN}]{{2,}}", v) for v in values]
+    got = run(spark, values, X.count_of(F.col("t"), X.HARD_MARKS), X.count_hits(F.col("t"), X._WORDS), X.count_hits(F.col("t"), X._VOICED), X.count_hits(F.col("t"), X._LONE), X.count_hits(F.col("t"), X._READABLE), F.size(X._readable(X.latin_words(F.col("t")))))
+    for v, w, lw, g in zip(values, words, latin, got):
+        long = [x for x in w if len(x) > 1]
+        lone = sum(map(len, re.findall(f"[{X.LATIN}]", v))) - sum(map(len, lw))
+        assert g[:5] == (len(re.findall(f"[{X.HARD_MARKS}]", v)), len(long), sum(bool(re.search(X.VOWEL, x)) for x in long), lone, sum(len(x) > 2 and len(set(x)) > 1 for x in lw)) and g[5] == g[4], v
+    # folding and file names, with runs at the cut
+    names = ["x" * 179 + "  " * 9 + "y", "é" * 400, "--ä" * 300, "ok.txt"]
+    want = [re.sub("[^A-Za-z0-9_.-]+", "_", v)[:180].strip("_") or "frame" for v in names]
+    assert [r[0] for r in run(spark, names, X.safe_name(F.col("t")))] == want
+    assert run(spark, ["Ärger à la ÿ†", "plain"], X.fold_ascii(F.col("t")), X.fold_umlauts(F.col("t"))) == [("Arger a la y", "AErger à la ÿ†"), ("plain", "plain")]
+
+
+def test_classes_are_tables_for_java():
+    import re
+
+    for c in (X.HARD_MARKS, X.STANDARD, X.LATIN, r"\s.\-", r"A-Z\]x", "/-Äö"):
+        a, b = (re.compile(f"[{x}]") for x in (c, X._members(c)))
+        assert all(bool(a.match(chr(k))) == bool(b.match(chr(k))) for k in range(0x2100))
+    assert X._members("•a-c!").startswith(r"\x21\x61\x62\x63")

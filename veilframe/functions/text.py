@@ -8,7 +8,9 @@ the underscore, and explicit edges where a word boundary is meant.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -49,6 +51,41 @@ HINTS = tuple(
 )
 
 
+_ITEM = re.compile(r"\\p\{\w+\}|\\x[0-9a-fA-F]{2}|\\.|.", re.S)
+
+
+def _members(inside: str) -> str:
+    """The same character class with its Latin-1 members first and one by one.
+
+    Java keeps these in a table as long as they come together; after anything else each one is a
+    further test of every character.
+    """
+    items, low, rest, k = _ITEM.findall(inside), [], [], 0
+    code = lambda x: int(x[2:], 16) if x[:2] == "\\x" else {"t": 9, "n": 10, "r": 13, "f": 12}.get(x[1], None if x[1].isalnum() else ord(x[1])) if x[0] == "\\" else ord(x)
+    while k < len(items):
+        a = code(items[k])
+        if a is not None and k + 2 < len(items) and items[k + 1] == "-" and (b := code(items[k + 2])) is not None:
+            low += range(a, min(b, 255) + 1)
+            if b > 255:
+                rest.append(f"{chr(max(a, 256))}-{chr(b)}")
+            k += 3
+            continue
+        if a is None or a > 255:
+            rest.append(items[k])
+            # letters and digits of ASCII are met before their Unicode class
+            low += {"\\p{L}": [*range(65, 91), *range(97, 123)], "\\p{N}": range(48, 58), "\\p{Z}": [32]}.get(items[k], [])
+        else:
+            low.append(a)
+        k += 1
+    return "".join(f"\\x{x:02x}" for x in sorted(set(low))) + "".join(rest)
+
+
+@lru_cache(maxsize=None)
+def java(pattern: str) -> str:
+    """A pattern with all its character classes written as Java tests them fastest."""
+    return re.sub(r"(?<!\\)\[(\^?)((?:\\.|[^\]\\])+)\]", lambda m: f"[{m[1]}{_members(m[2])}]", pattern, flags=re.S)
+
+
 def let(value: Column, f) -> Column:
     """f(value) with the value computed once: inside a lambda nothing else shares it."""
     return F.get(F.transform(F.array(value), f), F.lit(0))
@@ -75,8 +112,33 @@ def tokens(c: Column) -> Column:
 
 
 def count_of(c: Column, members: str) -> Column:
-    """Characters of ``c`` in a character class."""
-    return F.length(F.regexp_replace(c, f"[^{members}]", ""))
+    """Characters of ``c`` in a character class; the others go in runs.
+
+    Single members beyond Latin-1 are counted by themselves, and only in texts beyond ASCII: in one class
+    with the others they make Java's test of each character many times slower.
+    """
+    far = "".join(dict.fromkeys(x for x in members if ord(x) > 255))
+    near = "".join(x for x in members if ord(x) < 256)
+    n = F.length(F.regexp_replace(c, java(f"[^{near}]+"), ""))
+    return n + F.when(_ascii(c), 0).otherwise(F.length(c) - count_not(c, far)) if far else n
+
+
+def count_not(c: Column, members: str) -> Column:
+    """Characters of ``c`` outside a character class."""
+    return F.length(F.regexp_replace(c, java(f"[{members}]+"), ""))
+
+
+# What is only counted is counted by patterns, without an array of the words.  Java's lookaround keeps a
+# pattern to the starts of words, so that the time is linear in the text.
+_STARTS = f"(?<![^{SP}])"
+_WORDS = f"[^{SP}]{{2,}}"
+_VOICED = rf"{_STARTS}(?:{VOWEL}[^{SP}]+|[^{SP}{VOWEL[1:-1]}]++{VOWEL}[^{SP}]*)"
+_LONE = f"(?<![{LATIN}])[{LATIN}](?![{LATIN}])"
+_READABLE = rf"(?<![{LATIN}])(?!([{LATIN}])\1*+(?![{LATIN}]))[{LATIN}]{{3,}}"
+
+
+def count_hits(c: Column, pattern: str) -> Column:
+    return F.regexp_count(c, F.lit(java(pattern)))
 
 
 def latin_words(c: Column) -> Column:
@@ -92,7 +154,7 @@ def any_contains(c: Column, parts: Sequence[str]) -> Column:
 
 def structured_strict(c: Column) -> Column:
     """Clock, date, case, code, serial or ratio (X5, the default of the two)."""
-    return F.coalesce(c.rlike(STRICT_OVERLAY), F.lit(False))
+    return F.coalesce(c.rlike("[0-9]") & c.rlike(java(STRICT_OVERLAY)), F.lit(False))
 
 
 def structured_loose(c: Column) -> Column:
@@ -120,15 +182,14 @@ def _vowel_share(words: Column) -> tuple[Column, Column]:
 def is_gibberish(c: Column) -> Column:
     """Text that no structured overlay explains and that doesn't look like words."""
     n = F.length(c)
-    multi = F.filter(tokens(c), lambda w: F.length(w) > 1)
     distinct = F.size(F.array_distinct(F.split(F.replace(c, F.lit(" "), F.lit("")), "")))
     return (
         F.when(c.isNull() | (n < 3), True)
         .when(structured_strict(c), False)
         .when(count_of(c, r"\p{L}") / n < 0.2, True)
-        .when(F.length(F.regexp_replace(c, f"[{STANDARD}]", "")) > n * 0.4, True)
+        .when(count_not(c, STANDARD) > n * 0.4, True)
         .when(~c.rlike(f"[^{SP}]"), True)
-        .when(let(multi, lambda m: (_vowel_share(m)[1] > 0) & (_vowel_share(m)[0] < _vowel_share(m)[1] * 0.15)), True)
+        .when((count_hits(c, _WORDS) > 0) & (count_hits(c, _VOICED) < count_hits(c, _WORDS) * 0.15), True)
         .otherwise(distinct < n * 0.1)
     )
 
@@ -137,9 +198,9 @@ def gibberish_score(c: Column) -> Column:
     """0 (text) to 1 (noise)."""
     n = F.greatest(F.length(c), F.lit(1))
     letters = count_of(c, r"\p{L}") / n
-    odd = F.length(F.regexp_replace(c, f"[{STANDARD}]", "")) / n
-    marks = F.length(F.regexp_replace(c, rf"[\p{{L}}\p{{N}}{SP}.,:;/\-]", "")) / n
-    share = let(F.filter(tokens(c), lambda w: F.length(w) > 1), lambda m: F.try_divide(*_vowel_share(m)))
+    odd = count_not(c, STANDARD) / n
+    marks = count_not(c, rf"\p{{L}}\p{{N}}{SP}.,:;/\-") / n
+    share = F.try_divide(count_hits(c, _VOICED), count_hits(c, _WORDS))
     score = (
         let(letters, lambda x: F.when(x < 0.2, 0.35).when(x < 0.35, 0.15).otherwise(0.0))
         + F.least(odd * 0.8, F.lit(0.4))
@@ -169,7 +230,7 @@ def _readable(words: Column) -> Column:
 
 
 def _clinical(c: Column) -> Column:
-    return F.least(sum((F.when(c.rlike(p), 0.1).otherwise(0.0) for p in CLINICAL), F.lit(0.0)), F.lit(0.3))
+    return F.least(sum((F.when(c.rlike(java(p)), 0.1).otherwise(0.0) for p in CLINICAL), F.lit(0.0)), F.lit(0.3))
 
 
 def quality_score(c: Column, conf: Column) -> Column:
@@ -177,12 +238,11 @@ def quality_score(c: Column, conf: Column) -> Column:
     n = F.length(c)
     conf = F.when(conf.isNull() | F.isnan(conf), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), conf)))
 
-    def wordy(words: Column) -> Column:
-        k = F.size(words)
-        letters = F.aggregate(words, F.lit(0), lambda a, w: a + F.length(w))
-        return F.when(k > 0, _clinical(c) + F.when(letters / k >= 4.0, 0.1).otherwise(0.0) + F.size(_readable(words)) / k * 0.2).otherwise(0.0)
+    def wordy(k: Column) -> Column:
+        letters = count_of(c, LATIN) - count_hits(c, _LONE)
+        return F.when(k > 0, _clinical(c) + F.when(letters / k >= 4.0, 0.1).otherwise(0.0) + count_hits(c, _READABLE) / k * 0.2).otherwise(0.0)
 
-    text = let(latin_words(c), wordy)
+    text = let(count_hits(c, f"[{LATIN}]{{2,}}"), wordy)
     factor = let(count_of(c, r"\p{P}\p{S}") / n, lambda m: F.when(n < 4, 1.0).when(m > 0.5, 0.3).when(m > 0.3, 0.7).otherwise(1.0))
     score = (conf * 0.4 + text) * factor + F.least(n / 1000.0, F.lit(0.1))
     return F.when(c.isNull() | (n == 0), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
@@ -318,9 +378,15 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def fold_umlauts(c: Column) -> Column:
     """Umlauts as two letters; a sharp s stays."""
+    out = c
     for old, new in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "AE"), ("Ö", "OE"), ("Ü", "UE")):
-        c = F.replace(c, F.lit(old), F.lit(new))
-    return c
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return F.when(_ascii(c), c).otherwise(out)
+
+
+def _ascii(c: Column) -> Column:
+    """As many bytes as characters: nothing to fold."""
+    return F.octet_length(c) == F.length(c)
 
 
 _ACCENTS = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
@@ -329,13 +395,19 @@ _BARE = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
 
 def fold_ascii(c: Column) -> Column:
     """Latin accents dropped, other characters beyond ASCII removed."""
-    return F.regexp_replace(F.translate(c, _ACCENTS, _BARE), r"[^\x00-\x7f]", "")
+    # only what lies beyond ASCII is looked at: character by character the whole text would be slow
+    out = c
+    for bare in dict.fromkeys(_BARE):
+        out = F.regexp_replace(out, "[" + "".join(a for a, b in zip(_ACCENTS, _BARE) if b == bare) + "]", bare)
+    return F.when(_ascii(c), c).otherwise(F.regexp_replace(out, r"[^\x00-\x7f]+", ""))
 
 
 def safe_name(c: Column) -> Column:
     """Usable as a file name, 180 characters at most."""
-    t = F.regexp_replace(F.substring(F.regexp_replace(c, "[^A-Za-z0-9_.-]+", "_"), 1, 180), r"\A_+|_+\z", "")
-    return F.when(F.coalesce(t, F.lit("")) == "", "frame").otherwise(t)
+    # 180 characters come from as many signs and runs of others, so the rest of the text isn't replaced
+    head = F.regexp_extract(c, r"\A(?:[A-Za-z0-9_.-]|[^A-Za-z0-9_.-]++){0,180}+", 0)
+    t = F.regexp_replace(F.substring(F.regexp_replace(head, "[^A-Za-z0-9_.-]+", "_"), 1, 180), r"\A_+|_+\z", "")
+    return let(t, lambda x: F.when(F.coalesce(x, F.lit("")) == "", "frame").otherwise(x))
 
 
 def cut_above(c: Column, flags: Sequence[str]) -> Column:

@@ -148,8 +148,10 @@ def text_profile_documents(t):
 def diagnostic_summary(t):
     """Means and the four-way recommendation by language."""
     c = F.col("text")
-    share = X.count_of(c, X.HARD_MARKS) / F.greatest(F.length(c), F.lit(1))
-    out = t.documents.groupBy("lang").agg(F.count("*").alias("total_samples"), F.count_if(share > 0.05).alias("marked_samples"), F.round(F.avg((F.length(c) % 100) / 100.0), 6).alias("avg_confidence"), F.round(F.avg(share), 6).alias("avg_noise"))
+    # a column of its own: the aggregates would count the marks once each
+    rows = t.documents.select("lang", F.length(c).alias("n"), X.count_of(c, X.HARD_MARKS).alias("marks"))
+    n, share = F.col("n"), F.col("marks") / F.greatest("n", F.lit(1))
+    out = rows.groupBy("lang").agg(F.count("*").alias("total_samples"), F.count_if(share > 0.05).alias("marked_samples"), F.round(F.avg((n % 100) / 100.0), 6).alias("avg_confidence"), F.round(F.avg(share), 6).alias("avg_noise"))
     q, n = F.col("avg_confidence"), F.col("avg_noise")
     return out.withColumn("recommendation", F.when(q < 0.2, "LOW_CONFIDENCE").when(n > 0.7, "HIGH_GIBBERISH").when((q > 0.6) & (n < 0.3), "GOOD_QUALITY").otherwise("MODERATE_ISSUES"))
 
