@@ -181,3 +181,16 @@ def test_classes_are_tables_for_java():
         a, b = (re.compile(f"[{x}]") for x in (c, X._members(c)))
         assert all(bool(a.match(chr(k))) == bool(b.match(chr(k))) for k in range(0x2100))
     assert X._members("•a-c!").startswith(r"\x21\x61\x62\x63")
+
+
+def test_each_pattern_of_sensitive_spans_once(spark):
+    from veilframe.functions import sensitive as N
+    from veilframe.operators import redact
+
+    df = spark.createDataFrame([("Frau Meier, Anna wohnt Lange Straße 5, Fallnr: 77 am 01.02.2024",), ("nichts",), (None,)], "t string")
+    spans = df.select(N.spans(F.col("t")).alias("x"))
+    assert spans._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all(") <= len(set(N.PATTERNS.values()))
+    got = [{s.kind: s.found for s in r.x or []} for r in spans.collect()]
+    assert got[0]["last_name"] == got[0]["first_name"] == ["Meier, Anna"] and got[0]["address"] == ["Anna wohnt Lange Straße 5"] and got[0]["casenumber"] == ["Fallnr: 77"] and got[1] == {"examiner_first_name": ["nichts"], "examiner_last_name": ["nichts"]} and got[2] == {}
+    marks = df.select(redact.pii_redact(F.col("t")).alias("r"), *[c.alias(k) for k, c in redact.pii_counts(F.col("t")).items()]).collect()
+    assert marks[0].n_sensitive == 4 and "Meier" not in marks[0].r and marks[1].r == "nichts" and marks[1].n_email == 0 and marks[2].r is None and marks[2].n_email is None

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import java, let
+
 _UP, _LOW = "[A-ZÄÖÜ]", "[a-zäöüß]"
 _ANY = "[A-Za-zÄÖÜäöüß]"
 _NAME = rf"{_ANY}+\s*,\s*{_ANY}+"
@@ -32,12 +34,40 @@ MARKS = (
 
 def spans(c: Column) -> Column:
     """Array of (kind, found): the kinds that occur in a text and all their matches."""
-    each = [F.struct(F.lit(k).alias("kind"), F.regexp_extract_all(c, F.lit(p), F.lit(0)).alias("found")) for k, p in PATTERNS.items()]
-    return F.filter(F.array(*each), lambda s: F.size(s["found"]) > 0)
+
+    def found(p: str) -> Column:
+        hits = F.regexp_extract_all(c, F.lit(java(p)), F.lit(0))
+        # the search for a street's name goes back 60 characters at each letter: only where there is a street
+        return F.when(c.rlike(java(_STREET)), hits).otherwise(F.array().cast("array<string>")) if p.endswith(_STREET) else hits
+
+    def named(p: str):
+        return lambda f: F.array(*[F.struct(F.lit(k).alias("kind"), f.alias("found")) for k, q in PATTERNS.items() if q == p])
+
+    # each pattern once, whatever the number of its kinds
+    each = [let(found(p), named(p)) for p in dict.fromkeys(PATTERNS.values())]
+    return F.filter(F.flatten(F.array(*each)), lambda s: F.size(s["found"]) > 0)
+
+
+def may_hold(c: Column, pattern: str) -> Column:
+    """A cheap test that every text with a match passes."""
+    if pattern.endswith(_STREET):
+        return c.rlike(java(_STREET))
+    sign = next((s for s in ("@", r"\+[", "Dr\\.", r"\s*,\s*") if s in pattern), None)
+    return F.contains(c, F.lit({"@": "@", r"\+[": "+", "Dr\\.": "Dr.", r"\s*,\s*": ","}[sign])) if sign else c.rlike("[0-9]")
+
+
+def count(c: Column, pattern: str) -> Column:
+    """Matches in a text."""
+    return F.when(~may_hold(c, pattern), 0).otherwise(F.regexp_count(c, F.lit(java(pattern))))
+
+
+def replace(c: Column, pattern: str, by: str) -> Column:
+    """A text with the matches replaced."""
+    return let(c, lambda x: F.when(may_hold(x, pattern), F.regexp_replace(x, java(pattern), by)).otherwise(x))
 
 
 def mark(c: Column) -> Column:
     """A text with its sensitive spans replaced by marks."""
     for pattern, by in MARKS:
-        c = F.regexp_replace(c, pattern, by)
+        c = replace(c, pattern, by)
     return c
