@@ -25,21 +25,21 @@ FREE_TEXT = frozenset("UT UR UC ST SH LT LO AE".split())
 def pii_counts(c: Column) -> dict[str, Column]:
     """Hits of each kind of identifier."""
     return {
-        "n_email": F.regexp_count(c, F.lit(E.EMAIL)), "n_phone": F.regexp_count(c, F.lit(E.PHONE)), "n_ip": F.regexp_count(c, F.lit(E.IPV4)),
-        "n_sensitive": sum((F.regexp_count(c, F.lit(p)) for p, _ in N.MARKS), F.lit(0)),
-        "n_long_number": F.size(F.filter(X.tokens(F.regexp_replace(c, f"[^{X.WORD}]+", " ")), lambda w: w.rlike(r"\A[0-9]{5,}\z"))),
+        "n_email": N.count(c, E.EMAIL), "n_phone": N.count(c, E.PHONE), "n_ip": N.count(c, E.IPV4),
+        "n_sensitive": sum((N.count(c, p) for p, _ in N.MARKS), F.lit(0)),
+        "n_long_number": N.count(c, f"(?<![{X.WORD}])[0-9]{{5,}}+(?![{X.WORD}])"),
     }
 
 
 def pii_redact(c: Column) -> Column:
     """E-mail and street addresses, names, examiners, dates, case, social security and phone numbers, IP addresses and long numbers as marks."""
-    c = F.regexp_replace(c, E.EMAIL, "[EMAIL]")
-    c = N.mark(F.regexp_replace(c, E.PHONE, "[PHONE]"))
+    c = N.replace(c, E.EMAIL, "[EMAIL]")
+    c = N.mark(N.replace(c, E.PHONE, "[PHONE]"))
     for pattern, mark in ((E.EMAIL, "[EMAIL]"), (E.PHONE, "[PHONE]"), (E.IPV4, "[IP]")):
-        c = F.regexp_replace(c, pattern, mark)
+        c = N.replace(c, pattern, mark)
     # an edge belongs to one match alone, so numbers side by side take a second pass
     for _ in range(2):
-        c = F.regexp_replace(c, E.NUMBER, "$1[NUMBER]$2")
+        c = N.replace(c, E.NUMBER, "$1[NUMBER]$2")
     return c
 
 
@@ -122,7 +122,13 @@ def anonymise_report(
         c = F.replace(c, F.lit(name), P.draw(LAST_NAMES, secret, f"staff{k}", seed))
     c = P.redact_long_numbers(secret, c)
     for day, (lo, hi) in ((dob, (-1200, -365)), (exam, (-30, 30))):
-        moved = P.shift_date(day, lo, hi, seed)
-        for form in ("dd.MM.yyyy", "yyyy-MM-dd"):
-            c = F.when(day.isNotNull(), F.replace(c, F.date_format(day, form), F.date_format(moved, form))).otherwise(c)
+        bound = F.struct(c.alias("text"), day.alias("old"), P.shift_date(day, lo, hi, seed).alias("new"))
+
+        def moved(s: Column) -> Column:
+            out = s["text"]
+            for form in ("dd.MM.yyyy", "yyyy-MM-dd"):
+                out = F.replace(out, F.date_format(s["old"], form), F.date_format(s["new"], form))
+            return F.when(s["old"].isNotNull(), out).otherwise(s["text"])
+
+        c = X.let(bound, moved)
     return c
