@@ -357,3 +357,24 @@ def test_pipeline_summary_moves_no_rows(spark):
     out = evaluation.pipeline_summary(rows, ["p"], ["m"], ["o"])
     assert sorted(tuple(r) for r in out.collect()) == [("a", 0, 0, 0, 2, 0.6, 1.0), ("b", 1, 1, 0, 1, 0.2, None), ("c", 1, 0, 1, 0, 0.0, None)]
     assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_region_map_is_built_once(spark):
+    from veilframe.sources import records
+
+    flat = F.create_map(*[y for k in ("x", "y", "width", "height") for y in (F.lit(k), F.col("v").cast("string"))])
+    df = spark.createDataFrame([(3,), (-1,), (None,)], "v int").select(records.choose_roi(F.create_map().cast("map<string,struct<x:int,y:int,width:int,height:int>>"), flat).alias("m"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("map(x,") == 1
+    assert [r.m and tuple(r.m["endoscope_image"]) for r in df.collect()] == [(3, 3, 3, 3), None, None]
+
+
+def test_boxes_of_more_rows_take_more_tasks(spark, tmp_path, monkeypatch):
+    from veilframe.plans import tables
+
+    spark.range(4000).selectExpr("id div 4 AS l_orderkey", "cast(id % 4 AS int) AS l_linenumber", "id AS l_partkey", "id AS l_suppkey", "cast(id % 50 AS double) AS l_quantity", "1.0D AS l_extendedprice").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(tables, "TASK_ROWS", 400)
+    t = tables.Tables(spark, str(tmp_path))
+    out = spatial.union_area_rows(t.boxes()[0], "instance")
+    assert out.count() == 1000 and out._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(l_orderkey") >= 1
+    sizes = [r["count"] for r in t.boxes_gt().groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 10 and max(sizes) < 1000

@@ -66,7 +66,10 @@ class Tables:
     def boxes_gt(self) -> DataFrame:
         order = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"]
         x1, y1 = (F.col("l_partkey") * 7) % 60, (F.col("l_suppkey") * 13) % 40
-        rows = self.lineitem.withColumn("idx", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)))
+        items = self.lineitem
+        # a task's rows, and with them its memory, stay as many for a larger table; all that follows by instance needs no other exchange
+        items = items.repartition(max(self.spark.sparkContext.defaultParallelism, -(-sum(row_groups(items)) // TASK_ROWS)), "l_orderkey")
+        rows = items.withColumn("idx", F.row_number().over(W.partitionBy("l_orderkey").orderBy(*order)))
         return rows.select(
             F.col("l_orderkey").alias("instance"), "idx", "l_partkey", x1.cast("int").alias("x1"), y1.cast("int").alias("y1"), (x1 + 20 + F.floor("l_quantity")).cast("int").alias("x2"), (y1 + 20 + 3 * F.col("l_linenumber")).cast("int").alias("y2")
         )
